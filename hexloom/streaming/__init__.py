@@ -1,0 +1 @@
+"""hexloom.streaming"""
