@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hexloom.llm.decontam import decontaminate
 from hexloom.llm.packing import best_fit_packing
+from hexloom.llm.simjoin import similarity_components
 from hexloom.llm.tokencount import token_counts
 from hexloom.session import table
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -25,7 +30,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op3_jaccard_join, op5_token_counts, op8_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
