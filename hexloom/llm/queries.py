@@ -7,16 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hexloom.llm.decontam import decontaminate
+from hexloom.llm.importance import importance_resample
 from hexloom.llm.packing import best_fit_packing
+from hexloom.llm.rules import quality_rules
 from hexloom.llm.simjoin import similarity_components
 from hexloom.llm.tokencount import token_counts
 from hexloom.session import table
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -30,7 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_jaccard_join, op5_token_counts, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_importance, op3_jaccard_join, op4_quality_rules, op5_token_counts, op8_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
