@@ -27,12 +27,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.llm.arrow import batch, map_arrow, text_bytes
-from hexloom.llm.wordbpe import Generations
+from hexloom.llm.bytewords import WHITE_SPACE, separators, word_hashes
 from hexloom.session import stage
 
 TABLE_BITS = 20
@@ -47,30 +46,15 @@ SHARPNESS = 20.0
 PARTS = 16
 BINS = 1024
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-_words = Generations(500_000)
-
-
-def _word(w: bytes) -> int:
-    found = _words.get(w)
-    if found is None:
-        found = xxhash.xxh3_64_intdigest(w.lower().strip(b".,"))
-        if len(w) <= 64:
-            _words.put(w, found)
-    return found
+#: Full stops and commas part words, as white space does; other marks belong to them.
+_APART = separators(WHITE_SPACE + b".,")
 
 
 def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts, the text of each; pairs (within texts), the text of each."""
-    flat, lengths = [], []
-    for t in texts:
-        words = t.split()
-        h = list(map(_words.young.get, words))
-        if None in h:
-            h = [_word(w) if x is None else x for w, x in zip(words, h)]
-        flat += h
-        lengths.append(len(h))
-    a = np.asarray(flat, np.uint64)
-    of = np.repeat(np.arange(len(texts)), lengths)
+    each = [word_hashes(t.lower(), _APART) for t in texts]
+    a = np.concatenate([np.zeros(0, np.uint64), *each])
+    of = np.repeat(np.arange(len(texts)), list(map(len, each)))
     inside = of[1:] == of[:-1]
     pairs = (a[:-1] * _SEEDS[0] + a[1:])[inside]
     return a, of, pairs, of[1:][inside]

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.llm.arrow import batch, map_arrow, text_bytes
+from hexloom.llm.bytewords import WHITE_SPACE, separators, word_hashes
 from hexloom.llm.components import connected_components
-from hexloom.llm.wordbpe import Generations
 from hexloom.session import shuffle_partitions, stage
 
 WIDTH = 5
@@ -48,36 +48,23 @@ SKETCH_PARTS = 64
 #: A list expected to be longer than this is salted.
 LIST_ROWS = 20_000
 #: A list with no more members than this is compared in full; of a longer one, so many members go at once.
-SMALL_LIST = 48
-FIRST_MEMBERS = 16
+SMALL_LIST = 256
+FIRST_MEMBERS = 64
 #: Ids, of 8 bytes, that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-_words = Generations(500_000)
-
-
-def _word_hash(word: bytes) -> int:
-    found = _words.get(word)
-    if found is None:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            _words.put(word, found)
-    return found
+_SPACE = separators(WHITE_SPACE)
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct 64-bit shingles of a whole text."""
-    words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
-    if len(words) < width:
-        return np.asarray([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-    h = list(map(_words.young.get, words))
-    if None in h:
-        h = [_word_hash(w) if x is None else x for w, x in zip(words, h)]
-    a = np.asarray(h, np.uint64)
+    a = word_hashes(text.lower(), _SPACE)  # of bytes: A-Z only
+    if len(a) < width:
+        return np.asarray([xxhash.xxh3_64_intdigest(a.tobytes(), seed=len(a))] if len(a) else [], np.uint64)
     n = len(a) - width + 1
-    s = np.zeros(n, np.uint64)
-    for k in range(width):
+    s = a[:n] * _MIX[0]
+    for k in range(1, width):
         s += a[k : k + n] * (_MIX[k % 5] + np.uint64(2 * (k // 5)))
     s ^= s >> np.uint64(32)
     s *= _MIX[3]
@@ -284,23 +271,33 @@ def heavy_links(docs: DataFrame, classes: DataFrame, x: int, counts: bytes, widt
     links = links.unionByName(verified(_pairs(first, "fp", "rep"), classes, docs, width))
     # what is left of a list has been compared with its first member
     rest = stage(lists.filter("fp <> rep").select("token", "fp", "n", "u").unionByName(_sub_firsts(lists)).distinct())
+    labels = stage(connected_components(links))
     while True:
-        labels = stage(connected_components(links))
         own = rest.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-        own = stage(own)
-        mixed = own.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token", "members")
-        mixed = stage(mixed)
-        if mixed.isEmpty():
+        own = _mixed(_mixed(stage(own)))
+        if own.isEmpty():
             return links
-        own = stage(own.join(mixed, "token"))
         short, long = own.filter(F.col("members") <= SMALL_LIST), own.filter(F.col("members") > SMALL_LIST)
         other = short.select("token", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "u", "component")))
         found = _pairs(short.join(other, "token").filter("component < component2").filter(_possible("n", "u", "n2", "u2")), "fp", "fp2")
         lead = long.groupBy("token", F.pmod(F.xxhash64("fp"), F.lit(FIRST_MEMBERS)).alias("k")).agg(F.min(F.struct("u", "fp", "n", "component")).alias("f"))
         lead = stage(lead.select("token", F.col("f.fp").alias("fp2"), F.col("f.n").alias("n2"), F.col("f.u").alias("u2"), F.col("f.component").alias("component2")))
-        found = found.unionByName(_pairs(long.join(lead, "token").filter("component <> component2").filter(_possible("n", "u", "n2", "u2")), "fp", "fp2")).distinct()
-        links = stage(links.unionByName(verified(found, classes, docs, width)))
-        rest = stage(long.join(lead.select("token", F.col("fp2").alias("fp")), ["token", "fp"], "left_anti").select("token", "fp", "n", "u"))
+        if not lead.isEmpty():
+            found = found.unionByName(_pairs(long.join(lead, "token").filter("component <> component2").filter(_possible("n", "u", "n2", "u2")), "fp", "fp2")).distinct()
+            rest = stage(long.join(lead.select("token", F.col("fp2").alias("fp")), ["token", "fp"], "left_anti").select("token", "fp", "n", "u"))
+        new = verified(found, classes, docs, width)
+        if not new.isEmpty():
+            links = stage(links.unionByName(new))
+            labels = stage(connected_components(links))
+        if lead.isEmpty():
+            return links
+
+
+def _mixed(own: DataFrame) -> DataFrame:
+    """The members of lists that span components, without those that not even the list's least place lets in."""
+    lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("u").alias("least")).filter("a <> b")
+    lists = stage(lists.select("token", "members", "least"))
+    return stage(own.drop("members").join(lists, "token").filter(F.expr(f"{DEN} * (n - u) >= {NUM} * (n + least)")).drop("least"))
 
 
 def _sub_firsts(lists: DataFrame) -> DataFrame:
