@@ -12,6 +12,7 @@ from hexloom.llm.importance import importance_resample
 from hexloom.llm.langid import identify
 from hexloom.llm.linededup import dedup_lines
 from hexloom.llm.packing import best_fit_packing
+from hexloom.llm.pii import personal_data
 from hexloom.llm.rules import quality_rules
 from hexloom.llm.simjoin import similarity_components
 from hexloom.llm.tokencount import token_counts
@@ -23,6 +24,10 @@ def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance, op3_jaccard_join, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_warc_bundles, op8_decontamination, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_importance, op2_personal_data, op3_jaccard_join, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_warc_bundles, op8_decontamination, op9_packing, op10_language_id)}
 
 
 #: The contract's rows in DuckDB SQL, where SQL can express them over whole tables.
