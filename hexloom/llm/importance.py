@@ -37,7 +37,9 @@ from hexloom.session import stage
 TABLE_BITS = 20
 WORD_TABLES, PAIR_TABLES = 3, 2
 TABLES = WORD_TABLES + PAIR_TABLES
-SMOOTHING, PAIR_SMOOTHING = 2.0, 4.0
+SMOOTHING, PAIR_SMOOTHING = 2.0, 6.0
+#: A share of clean documents lost weighs as much as this many times the share of others kept.
+CLEAN_COUNTS = 3.0
 SIGNIFICANT = 1.8
 #: Labelled documents that the target model and the cut are made from, at most.
 LABELLED = 20_000
@@ -105,8 +107,11 @@ def ngram_counts(docs: DataFrame) -> np.ndarray:
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log p_target / p_raw of each table's slots, drawn towards none where little is expected."""
-    expected = raw * (target.sum(1) / np.maximum(1, raw.sum(1)))[:, None]
+    """log p_target / p_raw of each table's slots, drawn towards none where little is expected.
+
+    One raw occurrence is left out: it is that of the document being scored, whose own n-grams prove nothing.
+    """
+    expected = np.maximum(raw - 1, 0) * (target.sum(1) / np.maximum(1, raw.sum(1)))[:, None]
     alpha = np.asarray([SMOOTHING] * WORD_TABLES + [PAIR_SMOOTHING] * PAIR_TABLES)[:, None]
     return np.log((target + alpha) / (expected + alpha)).astype(np.float32)
 
@@ -146,13 +151,13 @@ def best_cut(scores: list[tuple[float, bool]]) -> float:
     clean, other = sum(c for _, c in scores), sum(not c for _, c in scores)
     if not clean or not other:
         return -math.inf
-    best, cut, kept_clean, kept_other = 0.0, -math.inf, 0, 0
+    best, cut, kept_clean, kept_other = CLEAN_COUNTS - 1, -math.inf, 0, 0  # keeping all of them
     ordered = sorted(scores, reverse=True)
     for i, (s, c) in enumerate(ordered):
         kept_clean, kept_other = kept_clean + c, kept_other + (not c)
         if i + 1 < len(ordered) and ordered[i + 1][0] == s:
             continue
-        gain = kept_clean / clean - kept_other / other
+        gain = CLEAN_COUNTS * kept_clean / clean - kept_other / other
         if gain >= best:
             best, cut = gain, s
     return cut
