@@ -1,0 +1,406 @@
+"""Each operator against a brute-force version on small fixtures, with the corner cases of its docstring."""
+
+import array
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from hexloom.llm import importance, langid, linededup, packing, pii, rules, simjoin, tokencount, warcbundle, wordbpe
+from hexloom.llm import decontam as dc
+from hexloom.llm import queries as Q
+from hexloom.llm.components import connected_components
+from tests.oracle import assert_same, connect
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module")
+def tiny():
+    """Null, empty, blank, very long, repeated rows."""
+    return [(1, None), (2, ""), (3, " \n\t"), (4, "word " * 30000), (5, "same text here, again and again"), (5, "same text here, again and again"), (6, "é 🙂 你好"), (7, "a"), (None, "no id")]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+
+
+# token counts
+
+
+@pytest.fixture(scope="module")
+def library():
+    return wordbpe.WordBpe().tokenizer
+
+
+def encode(library, text):
+    return library.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_equal_the_library(library):
+    rng = random.Random(4)
+    letters = [*"abcXYZ'strevmld 0123.,!<|>\t\n\x1c\x85\xa0_éÉİßſªœ你好ñ№🙂​", "<|endoftext|>", "'s", "'LL"]
+    w = wordbpe.word_bpe()
+    for _ in range(3000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
+        assert w.encode(t.encode()) == array.array("I", encode(library, t)).tobytes(), t
+
+
+def test_prefix_tables_equal_the_library(library):
+    p = tokencount.prefix_counts()
+    for word in ("antidisestablishment", "éducation", "a", "...", "zzzzqx"):
+        assert p.piece_table(word) == [len(encode(library, word[:i])) for i in range(len(word) + 1)]
+    text = "Some words, don't they? <|endoftext|> 123 你好 fin"
+    for budget in range(20):
+        best = max(i for i in range(len(text) + 1) if len(encode(library, text[:i])) <= budget)
+        assert len(encode(library, text[: p.within(text.encode(), budget)])) <= budget
+        assert p.within(text.encode(), budget) <= best <= p.within(text.encode(), budget) + 1  # white space is free
+
+
+def test_token_counts(spark, tiny, texts, library):
+    rows = tiny + texts[:40]
+    got = tokencount.token_counts(frame(spark, [(*r, 1) for r in rows], "doc_id long, text string, n_tokens int")).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == collections.Counter((i, len((t or "").encode()), len(encode(library, t or "")), len(encode(library, t or "")) > 2048) for i, t in rows)
+    table = tokencount.prefix_tables(frame(spark, [(1, "one two  three")])).first()
+    assert table.ends == [3, 7, 14] and table.counts == [1, 2, 3]
+    assert tokencount.token_counts(frame(spark, [])).count() == 0
+
+
+# packing
+
+
+def test_packing(spark, tiny, texts, library):
+    rows = [r for r in tiny if r[0] is not None] + [(100 + i, t) for i, t in texts]
+    got = packing.best_fit_packing(frame(spark, rows)).collect()
+    want = collections.Counter()
+    for i, t in rows:
+        ids = encode(library, t or "") + [1]
+        for k in range(0, len(ids), 4096):
+            want[(i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(array.array("I", ids[k : k + 4096]).tobytes()))] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(r.length for r in got)
+    assert len(bins) <= -(-total // 4096) + 2
+    assert packing.best_fit_packing(frame(spark, [])).count() == 0
+
+
+def test_packing_in_many_groups(spark):
+    rng = random.Random(1)
+    pieces = [(i, 0, 0, rng.choice([4096, 3000, 1096, 700, 50, 1]), 0, i) for i in range(3000)]
+    got = packing.pack(frame(spark, pieces, packing.PIECE_SCHEMA), group_pieces=200).collect()
+    assert len(got) == 3000 and len({r.row for r in got}) == 3000
+    fill = collections.Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 4096 and len(fill) <= sum(p[3] for p in pieces) / 4096 * 1.04 + 2
+
+
+# Jaccard join
+
+
+def brute_components(rows):
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize("limits", [(256, 64, 20000), (4, 3, 5)])
+def test_jaccard_join(spark, monkeypatch, limits):
+    """Also with lists so short, and salts so many, that all rounds are needed."""
+    for k, v in zip(("SMALL_LIST", "FIRST_MEMBERS", "LIST_ROWS"), limits):
+        monkeypatch.setattr(simjoin, k, v)
+    rng = random.Random(5)
+    rows = [(9000, None), (9001, ""), (9002, " \n ")]
+    for _ in range(16):
+        base = [f"W{rng.randrange(40)}" for _ in range(rng.choice([1, 3, 6, 8, 10, 14, 20, 25, 40, 80]))]
+        for _ in range(rng.choice([1, 3, 12])):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                w.insert(rng.randrange(len(w) + 1), f"w{rng.randrange(40)}") if rng.random() < 0.6 or len(w) < 2 else w.pop(rng.randrange(len(w)))
+            rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.similarity_components(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_join_of_nothing(spark):
+    assert simjoin.similarity_components(frame(spark, [])).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (7, 7)]
+    got = dict(connected_components(frame(spark, edges, "u long, v long")).collect())
+    assert got == {**dict.fromkeys(range(21), 0), 100: 100, 101: 100, 102: 100}
+
+
+# personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(x - 9 if x > 9 else x for i, c in enumerate(reversed(d)) for x in [int(c) * (2 if i % 2 else 1)]) % 10 == 0
+
+
+def brute_personal(t):
+    out, counts = [], []
+    for k, (kind, p) in enumerate(BASE.items()):
+        n = 0
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, kind, m.end()))
+                n += 1
+        counts.append(n)
+    return (*counts, hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, k, kind, b in sorted(out)).encode()).hexdigest())
+
+
+def test_personal_data(spark, tiny):
+    rng = random.Random(3)
+    rows = [(100 + i, "".join(rng.choice("ab1234567890..@@--  +()_%é🙂\n") for _ in range(rng.randint(0, 90)))) for i in range(300)]
+    rows += [r for r in tiny if r[0] != 5] + [(50, "4111 1111 1111 1111, 4111-1111-1111-1112 +1 (523) 555-1055 00255.1.3.4 256.1.1.1 a@b.c_d@e.f"), (51, "1" * 3000 + " " + "a" * 3000 + "@")]
+    rows += [(1000 + i, f"contact mail me at user{i}@host{i}.com now thanks") for i in range(12)] + [(2000, "contact mail me at jdoe99887 now thanks")]
+    got = {r.doc_id: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert tuple(got[i])[1:6] == brute_personal(t), t
+    assert got[2000].spans == "email:19:28"  # found by its context alone
+    assert pii.personal_data(frame(spark, [])).count() == 0
+
+
+def test_native_plans_run_no_python(spark):
+    for df in (pii.personal_data(frame(spark, [(1, "a@b.cd")])), rules.quality_rules(frame(spark, [(1, "a b")]))):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+# quality rules
+
+
+def brute_counts(t):
+    t = t or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w))
+
+
+def test_quality_rules(spark, tiny, texts):
+    rows = [r for r in tiny if r[0] != 5] + [(1000 + i, t) for i, t in texts] + [(50, "a b a b a b a"), (51, " \x0b a\x0c b\n\n a\n a\nx\x1cy a b c a b c"), (52, "a a a"), (53, "a a a a")]
+    got = {r.doc_id: r for r in rules.quality_rules(frame(spark, rows)).collect()}
+    for i, t in rows:
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_counts(t), t
+        assert not (r.base_failed and r.kept)
+    assert rules.quality_rules(frame(spark, [])).count() == 0
+
+
+def test_a_flagged_document_is_left_out(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) + ("." if k % 9 == 8 else "") for k in range(120))) for i in range(30)]
+    rows.append((99, rows[0][1].replace(" ", "### ")))
+    got = {r.doc_id: r.kept for r in rules.quality_rules(frame(spark, rows)).collect()}
+    assert not got[99] and sum(got.values()) == 30
+
+
+# decontamination
+
+
+def brute_hits(text, items, window=10):
+    cut = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    words, hit, found = cut(text), set(), set()
+    for i, t in items:
+        w = cut(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            x = w[k : k + window]
+            for s in range(len(words) - len(x) + 1):
+                if words[s : s + len(x)] == x:
+                    hit |= set(range(s, s + len(x)))
+                    found.add(str(i))
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("block", [dc.BLOCK_WORDS, 40])
+def test_decontamination(spark, tiny, block, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: f"W{rng.randrange(12)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 10, 12, 20])))) for i in range(12)] + [(99, None), (3, "again W1 W2")]
+    rows = [r for r in tiny if r[0] not in (4, 5, None)]
+    for i in range(60):
+        t = [word() for _ in range(rng.randrange(40))]
+        if rng.random() < 0.5:
+            t[5:5] = (rng.choice(items)[1] or "").split()
+        rows.append((100 + i, ", ".join(t)))
+    found = dc.benchmark_matches(frame(spark, rows), frame(spark, items, "item_id long, text string"), block_words=block)
+    got = {r.doc_id: tuple(r)[1:] for r in dc.map_arrow(found.select("doc_id", "n_words", "runs", "items"), dc._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").collect()}
+    assert got == {i: brute_hits(t, items) for i, t in rows}
+
+
+def test_proximity(spark):
+    docs = frame(spark, [(1, "a b x c d"), (2, "a b c d"), (3, "a b x y z c d"), (4, "d c b a")])
+    found = dc.benchmark_matches(docs, frame(spark, [(7, "a b c d")], "item_id long, text string"), slop=1)
+    assert {r.doc_id: [tuple(x) for x in r.runs] for r in found.collect()} == {1: [(0, 5)], 2: [(0, 4)], 3: [], 4: []}
+
+
+# line dedup
+
+
+def test_line_dedup(spark, monkeypatch):
+    shared, near, short = "this line is on all of the sites", "this line is on four sites only..", "short"
+    rows = [(i, "\n".join([shared, f"own line number {i} of the document", *([near] if i % 10 < 4 else []), short]), "en", f"s{i % 10}", 5) for i in range(40)]
+    rows += [(100, None, None, None, None), (101, "", "en", "s1", 0), (102, shared, "en", None, 1)]
+    for bound in (linededup.BROADCAST_LINES, 0):
+        monkeypatch.setattr(linededup, "BROADCAST_LINES", bound)
+        got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, rows, DOCS)).collect()}
+        assert len(got) == len(rows)
+        for i, t, *_ in rows:
+            want = None if t is None else "\n".join(x for x in t.split("\n") if x != shared)
+            assert got[i].text == want and got[i]._n_removed == (0 if t is None else t.split("\n").count(shared))
+
+
+def test_line_hash_is_the_engines(spark):
+    rows = [(1, "é 🙂 line"), (2, "x" * 100), (3, "")]
+    assert [r.h for r in frame(spark, rows).select(F.xxhash64("text").alias("h")).collect()] == [linededup._hash(t) for _, t in rows]
+
+
+# WARC bundles
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<html>" + "x" * 300 + "</html>"
+    rows = [(5, "http://a/1", big), (3, "http://a/2", big), (9, None, big), (1, "u", "tiny"), (2, "u", "tiny"), (4, "u", None), (6, "u", "é" * 60), (7, "u", "\r\n\r\nWARC/1.1")]
+    bundles = warcbundle.write_bundles(frame(spark, rows, "page_id long, url string, html string"))
+    got = {r.page_id: tuple(r)[1:] for r in warcbundle.read_bundles(bundles).collect()}
+    for i, _, h in rows:
+        data = (h or "").encode()
+        again = h == big and i != 3
+        assert got[i] == (len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", 3 if again else None)
+    n = warcbundle.export_bundles(bundles, str(tmp_path))
+    files = {p.name.split(".")[0]: p.read_bytes() for p in tmp_path.glob("*.warc.zst")}
+    assert n == len(files)
+    import zstandard
+
+    for b in bundles.collect():
+        data = files[b.bundle_id]
+        for e in b["index"]:
+            headers, block = warcbundle.read_record(data, e.asDict())
+            assert headers["WARC-Record-ID"] == warcbundle.record_id(e.page_id)
+            if headers["WARC-Type"] == "response":
+                assert block.decode() == next(h or "" for i, _, h in rows if i == e.page_id)
+        whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()  # any reader skips the table
+        assert whole.count(b"WARC-Record-ID") == len(b["index"])
+    assert warcbundle.read_bundles(warcbundle.write_bundles(frame(spark, [], "page_id long, url string, html string"))).count() == 0
+
+
+# language identification
+
+
+def test_forward_sums_all_segmentations():
+    v = langid.Pieces()
+    q = [random.Random(k).random() for k in range(len(v.number) + 1)]
+
+    def total(text, at=0):
+        if at == len(text):
+            return 1.0
+        out = 0.0
+        for end in range(at + 1, len(text) + 1):
+            k = v.number.get(text[at:end], len(v.number) if end == at + 1 else None)
+            if k is not None:
+                out += q[k] * total(text, end)
+        return out
+
+    for w in ("there", "étéß", "你a"):
+        length, edges = v.edges(w)
+        assert langid.forward(length, edges, q)[length] == pytest.approx(total("▁" + w))
+
+
+def test_language_id(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    got = langid.identify(docs.withColumn("score", F.lit("clash"))).collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(truth) and {r.doc_id for r in held} == {d for d in truth if zlib.crc32(str(d).encode()) % 3 == 1}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+    odd = langid.identify(frame(spark, [(3, None, "en", "s", 1), (4, "12 !!", None, "s", 1), (6, "word", None, "s", 1)], DOCS)).collect()
+    assert {(r.lang_pred, r.score) for r in odd} == {("und", 0.0)}
+
+
+# importance resampling
+
+
+def test_importance(spark):
+    rng = random.Random(8)
+    common = [f"word{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        t = [rng.choice(common) for _ in range(120)] + (["awful", "nasty", "vile"] * 2 if bad else [])
+        rng.shuffle(t)
+        rows.append((i, " ".join(t)))
+        if i % 2 == 0 or i % 5 == 0:
+            labels.append((i, 1, int(bad)))
+    rows += [(1000, None), (1001, ""), (5, rows[5][1])]
+    got = importance.importance_resample(frame(spark, rows), frame(spark, labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows)
+    kept = {r.doc_id: r.kept for r in got}
+    assert not kept[1000] and not kept[1001]
+    assert sum(kept[i] for i in range(600) if i % 6) >= 0.97 * 500
+    assert sum(kept[i] for i in range(0, 600, 6)) <= 10
+    few = importance.importance_resample(frame(spark, rows), frame(spark, labels, "doc_id long, quality int, toxic int"), k=50).collect()
+    best = sorted((r.gumbel_key for r in few if r.gumbel_key is not None), reverse=True)[:50]
+    assert sum(r.kept for r in few) >= 50 and min(r.gumbel_key for r in few if r.kept) == best[-1]
+    free = importance.importance_resample(frame(spark, rows), frame(spark, [], "doc_id long, quality int, toxic int")).collect()
+    assert sum(r.kept for r in free) == len(rows) - 2
+
+
+# the queries
+
+
+def test_queries_with_sql(spark, sf_dir):
+    con = connect(sf_dir)
+    for name, sql in Q.oracle_sql().items():
+        assert_same(Q.queries()[name](spark, sf_dir), con, sql)
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    for k, (_, f) in enumerate(P.STAGES):
+        before = docs.count()
+        docs = P.stage(f(spark, docs, sf_dir))
+        if k < 4:
+            assert docs.columns == columns and 0 < docs.count() <= before
+    assert docs.select("sequence_id").distinct().count() > 0
