@@ -108,6 +108,8 @@ RULES = {
 #: away: it calls at most this share of good documents bad, at least this share of bad ones, and at most this share
 #: of documents is good. An abstention says nothing.
 MOST_FALSE_ALARMS, LEAST_FOUND, MOST_GOOD = 0.005, 0.2, 0.9
+#: Log odds that one vote for good may add: praise for one thing does not outweigh a fault in another.
+MOST_PRAISE = 0.5
 
 
 def votes(stats: DataFrame) -> DataFrame:
@@ -125,7 +127,7 @@ def _posterior(prior: float, accuracy: dict[str, Accuracy]) -> Column:
     for k, (good, bad) in accuracy.items():
         v = F.col(f"vote_{k}")
         ratios = [math.log(g / b) for g, b in zip(good, bad)]
-        score = score + F.when(v < 0, ratios[0]).when(v > 0, ratios[2]).otherwise(0.0)
+        score = score + F.when(v < 0, ratios[0]).when(v > 0, min(MOST_PRAISE, ratios[2])).otherwise(0.0)
     return 1 / (1 + F.exp(-score))
 
 
