@@ -48,8 +48,10 @@ SKETCH_PARTS = 64
 #: A list expected to be longer than this is salted.
 LIST_ROWS = 20_000
 #: A list with no more members than this is compared in full; of a longer one, so many members go at once.
-SMALL_LIST = 256
-FIRST_MEMBERS = 64
+SMALL_LIST = 2048
+FIRST_MEMBERS = 512
+#: Parity bits per set, in longs: sets differ in at least as many shingles as their bits differ.
+BIT_WORDS = 8
 #: Ids, of 8 bytes, that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -87,22 +89,24 @@ def prefix_length(n: int) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the task's sketch, in parts."""
-    names = ["doc_id", "n", "fp", "small", "part", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "fp", "small", "bits", "part", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for b in batches:
-        sizes, prints, small = [], [], []
+        sizes, prints, small, bits = [], [], [], []
         for text in b.column(1).to_pylist():
             s = shingles(text, width)
             sizes.append(len(s))
             prints.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
             small.append(s.view(np.int64).tolist() if len(s) <= KEPT else None)
+            odd = np.bincount((s % np.uint64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+            bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
             sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1  # equal places within a text count once
         nothing = [None] * len(sizes)
-        yield batch(names, [b.column(0), sizes, prints, small, nothing, nothing], types)
+        yield batch(names, [b.column(0), sizes, prints, small, bits, nothing, nothing], types)
     parts = np.split(np.minimum(sketch, 2**31 - 1).astype("<i4"), SKETCH_PARTS)
     nothing = [None] * SKETCH_PARTS
-    yield batch(names, [nothing, nothing, nothing, nothing, list(range(SKETCH_PARTS)), [p.tobytes() for p in parts]], types)
+    yield batch(names, [*[nothing] * 5, list(range(SKETCH_PARTS)), [p.tobytes() for p in parts]], types)
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,18 +276,23 @@ def heavy_links(docs: DataFrame, classes: DataFrame, x: int, counts: bytes, widt
     # what is left of a list has been compared with its first member
     rest = stage(lists.filter("fp <> rep").select("token", "fp", "n", "u").unionByName(_sub_firsts(lists)).distinct())
     labels = stage(connected_components(links))
+    bits = [f"b{k}" for k in range(BIT_WORDS)]
+    apart = " + ".join(f"bit_count({c} ^ {c}2)" for c in bits)
+    # linked sets of n and m shingles differ in (n + m) / 9 of them at most
+    near = _possible("n", "u", "n2", "u2") & F.expr(f"{NUM + DEN} * ({apart}) <= {DEN - NUM} * (n + n2)")
     while True:
         own = rest.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
         own = _mixed(_mixed(stage(own)))
+        own = own.join(classes.select("fp", *(F.col("bits")[k].alias(f"b{k}") for k in range(BIT_WORDS))), "fp")
         if own.isEmpty():
             return links
         short, long = own.filter(F.col("members") <= SMALL_LIST), own.filter(F.col("members") > SMALL_LIST)
-        other = short.select("token", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "u", "component")))
-        found = _pairs(short.join(other, "token").filter("component < component2").filter(_possible("n", "u", "n2", "u2")), "fp", "fp2")
-        lead = long.groupBy("token", F.pmod(F.xxhash64("fp"), F.lit(FIRST_MEMBERS)).alias("k")).agg(F.min(F.struct("u", "fp", "n", "component")).alias("f"))
-        lead = stage(lead.select("token", F.col("f.fp").alias("fp2"), F.col("f.n").alias("n2"), F.col("f.u").alias("u2"), F.col("f.component").alias("component2")))
+        other = short.select("token", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "u", "component", *bits)))
+        found = _pairs(short.join(other, "token").filter("component < component2").filter(near), "fp", "fp2")
+        lead = long.groupBy("token", F.pmod(F.xxhash64("fp"), F.lit(FIRST_MEMBERS)).alias("k")).agg(F.min(F.struct("u", "fp", "n", "component", *bits)).alias("f"))
+        lead = stage(lead.select("token", F.col("f.fp").alias("fp2"), F.col("f.n").alias("n2"), F.col("f.u").alias("u2"), F.col("f.component").alias("component2"), *(F.col(f"f.{c}").alias(f"{c}2") for c in bits)))
         if not lead.isEmpty():
-            found = found.unionByName(_pairs(long.join(lead, "token").filter("component <> component2").filter(_possible("n", "u", "n2", "u2")), "fp", "fp2")).distinct()
+            found = found.unionByName(_pairs(long.join(lead, "token").filter("component <> component2").filter(near), "fp", "fp2")).distinct()
             rest = stage(long.join(lead.select("token", F.col("fp2").alias("fp")), ["token", "fp"], "left_anti").select("token", "fp", "n", "u"))
         new = verified(found, classes, docs, width)
         if not new.isEmpty():
@@ -310,11 +319,11 @@ def _sub_firsts(lists: DataFrame) -> DataFrame:
 def similarity_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    both = stage(map_arrow(docs, partial(_sets, width=width), "doc_id long, n long, fp long, small array<long>, part int, counts binary"))
-    sets = both.filter("part is null").select("doc_id", "n", "fp", "small")
+    both = stage(map_arrow(docs, partial(_sets, width=width), "doc_id long, n long, fp long, small array<long>, bits array<long>, part int, counts binary"))
+    sets = both.filter("part is null").select("doc_id", "n", "fp", "small", "bits")
     parts = map_arrow(both.filter("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part"), _add_sketches, "part int, counts binary")
     counts = b"".join(bytes(r[1]) for r in sorted(parts.collect()))  # 4 MiB, however many documents there are
-    classes = stage(sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("small").alias("small")))
+    classes = stage(sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("bits").alias("bits")))
     x = boundary({r[0]: r[1] for r in classes.filter(F.col("n") <= KEPT).groupBy("n").count().collect()})
     links = light_links(classes, x)
     if counts:
