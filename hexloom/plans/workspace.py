@@ -7,6 +7,7 @@ classification, first-wins, providers, edges and summaries are DataFrame operati
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from hexloom.functions import columns as C
 from hexloom.hcl import evaluate as ev
 from hexloom.hcl import render
+from hexloom.hcl.cascade import Resolver
 from hexloom.hcl.parser import HclError, attributes, parse
 from hexloom.operators import edges as edge_ops
 from hexloom.operators import providers as provider_ops
@@ -71,7 +73,17 @@ def _provider(e: list) -> tuple[str | None, str | None]:
     return (local, alias or None) if ok else (None, None)
 
 
-def evaluate_directory(rows: list[dict], variables: dict[str, object], environment: str | None) -> Iterator[dict]:
+def _wrapper(here: str, texts: dict[str, str], root: str, env: dict[str, str]):
+    """What a component's wrapper file and its include chain say, and the entities for it."""
+    r = Resolver(texts, here, root, env).resolve()
+    found = [_entity(dir=here, kind="diagnostic", name=code, body=message, file="", ord=-1) for code, message in r.diagnostics]
+    known = {k: r.locals.get(k) if isinstance(r.locals.get(k), str) else None for k in ("aws_region", "aws_account_id")}
+    b = r.backend or {}
+    found.append(_entity(dir=here, kind="wrapper", address=f"component.{here}", type=known["aws_region"], name=known["aws_account_id"], region=b.get("region"), profile=b.get("profile"), source=b.get("kind"), provider_local=b.get("role_arn"), body="[]", depends_on=[f"component.{x}" for x in r.dependencies.values()], file=posixpath.join(here, "terragrunt.hcl"), line=1, column=1, ord=0))
+    return r, found
+
+
+def evaluate_directory(rows: list[dict], variables: dict[str, object], environment: str | None, wrappers: dict[str, str] | None = None, root: str = "/", env: dict[str, str] | None = None) -> Iterator[dict]:
     """The entities of one directory, reduced as far as it goes by itself."""
     here, blocks, ord_ = rows[0]["dir"], [], 0
     for r in sorted(rows, key=lambda r: r["path"]):
@@ -82,6 +94,11 @@ def evaluate_directory(rows: list[dict], variables: dict[str, object], environme
         except (HclError, RecursionError) as e:
             yield _entity(dir=here, kind="diagnostic", name="TF1203", body=str(e), file=r["path"], ord=-1)
     scope = ev.Scope(workspace=environment)
+    wrapped = None
+    if any(r["name"] == "terragrunt.hcl" for r in rows if posixpath.dirname(r["path"]) == here):
+        texts = wrappers if wrappers is not None else {r["path"]: r["text"] for r in rows if r["name"].endswith(".hcl")}
+        wrapped, found = _wrapper(here, texts, root, env or {})
+        yield from found
     nodes: dict[str, list] = {}
     for x, _ in blocks:
         if x["name"] == "variable" and x["labels"]:
@@ -91,8 +108,12 @@ def evaluate_directory(rows: list[dict], variables: dict[str, object], environme
                 scope.var.setdefault(x["labels"][0], default[1])
         elif x["name"] == "locals":
             nodes |= dict(map(tuple, attributes(x["body"])))
+    if wrapped is not None:
+        scope.var |= wrapped.inputs
+        scope.local |= wrapped.locals
     scope.var |= variables
     nodes, cycle = ev.solve_locals(nodes, scope)
+    scope.local |= {k: v[1] for k, v in nodes.items() if v[0] == "lit"}
     if cycle:
         yield _entity(dir=here, kind="diagnostic", name="TF1401", body=", ".join(cycle), file="", ord=-1)
     for x, path in blocks:
@@ -168,15 +189,32 @@ def _finish(r: dict) -> Iterator[dict]:
         yield out | {"address": r["prefix"] + r["address"] + (s or ""), "count_expr": render.source(count) if s is None else "", "for_each_expr": render.source(for_each) if s is None else ""}
 
 
-def read_workspace(spark: SparkSession, root: str, variables: dict[str, object] | None = None, environment: str | None = None, profiles: DataFrame | None = None) -> Workspace:
-    """The four tables of a source tree. profiles: profile, account_id, account_name."""
+#: Bytes of wrapper files that are sent to every task; beyond, a component gets those of its ancestors by a join.
+WRAPPER_BYTES = 32 << 20
+
+
+def _with_wrappers(known: DataFrame, found: DataFrame) -> tuple[DataFrame, dict[str, str] | None]:
+    hcl = found.filter(F.col("name").endswith(".hcl"))
+    if hcl.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] <= WRAPPER_BYTES:
+        return known, {r.path: r.text for r in hcl.select("path", "text").collect()}
+    wrapped = known.filter("name = 'terragrunt.hcl'").select(F.col("dir").alias("_d"))
+    up = F.transform(F.sequence(F.lit(0), F.size(F.split("_d", "/"))), lambda n: F.array_join(F.slice(F.split("_d", "/"), F.lit(1), n), "/"))
+    above = wrapped.select("_d", F.explode(up).alias("dir")).filter("dir <> _d").join(hcl, "dir")
+    return known.unionByName(above.select("path", F.col("_d").alias("dir"), "name", "size", "text")), None
+
+
+def read_workspace(spark: SparkSession, root: str, variables: dict[str, object] | None = None, environment: str | None = None, profiles: DataFrame | None = None, env: dict[str, str] | None = None) -> Workspace:
+    """The four tables of a source tree. profiles: profile, account_id, account_name; env: what get_env() may see."""
     found = stage(files(spark, root))
     kinds = stage(directories(found).select("dir", F.col("kind").alias("dir_kind"), "has_terragrunt"))
     known = found.join(kinds.filter("dir_kind in ('component', 'module')").select("dir"), "dir", "left_semi")
-    entities = stage(map_groups(known, "dir", partial(evaluate_directory, variables=variables or {}, environment=environment), ENTITY))
+    known, wrappers = _with_wrappers(known, found)
+    evaluate = partial(evaluate_directory, variables=variables or {}, environment=environment, wrappers=wrappers, root=os.path.abspath(root) if "://" not in root else "/", env=env or {})
+    entities = stage(map_groups(known, "dir", evaluate, ENTITY))
     components = kinds.filter("dir_kind = 'component'").select(F.col("dir").alias("component_path"), "has_terragrunt")
 
-    own = entities.filter("kind <> 'diagnostic'").join(components.select(F.col("component_path").alias("dir")), "dir", "left_semi")
+    wrapped = entities.filter("kind = 'wrapper'")
+    own = entities.filter("kind not in ('diagnostic', 'wrapper')").join(components.select(F.col("component_path").alias("dir")), "dir", "left_semi")
     bound = own.select("*", F.col("dir").alias("component_path"), F.lit("").alias("prefix"), F.lit(None).cast("string").alias("inputs"), F.array("dir").alias("chain"))
     inner = entities.filter("kind in ('resource', 'data', 'module')")
     parts, level = [bound], stage(map_rows(bound.filter("kind = 'module'"), _calls, _CALL))
@@ -192,7 +230,13 @@ def read_workspace(spark: SparkSession, root: str, variables: dict[str, object]
     rows = stage(map_rows(every, _finish, FINAL))
     rows = stage(first_by(rows.filter(C.valid_address("address")), ["component_path", "address"], ["ord", "file", "line", "column"]))
 
-    resolved = _providers(rows, profiles if profiles is not None else spark.range(0).select(F.lit("").alias("profile"), F.lit("").alias("account_id"), F.lit("").alias("account_name")))
+    profiles = profiles if profiles is not None else spark.range(0).select(F.lit("").alias("profile"), F.lit("").alias("account_id"), F.lit("").alias("account_name"))
+    layered = wrapped.select(F.col("dir").alias("component_path"), F.col("type").alias("_region"), F.col("name").alias("_account"))
+    named = provider_ops.account_names(profiles).select(F.col("account_id").alias("_account"), F.col("account_name").alias("_account_name"))
+    resolved = _providers(rows, profiles).join(layered, "component_path", "left").join(named, "_account", "left")
+    linked = F.col("kind").isin("resource", "data")
+    for c, other in (("account_name", F.when(F.col("account_id").isNull(), F.col("_account_name"))), ("account_id", F.col("_account")), ("region", F.col("_region"))):
+        resolved = resolved.withColumn(c, F.when(linked, F.coalesce(c, other)).otherwise(F.col(c)))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     resources = resolved.select(
         F.lit(root).alias("workspace_root"), "component_path", C.module_path("address").alias("module_path"), "address", "kind", blank("type").alias("resource_type"), F.col("name").alias("resource_name"),
@@ -202,10 +246,14 @@ def read_workspace(spark: SparkSession, root: str, variables: dict[str, object]
     counted = summary.component_summary(components.select("component_path"), rows.select("component_path", "kind"), rows.filter("false").select("component_path", F.lit("").alias("environment")))
     unresolved = rows.groupBy("component_path").agg(F.sum("unresolved").alias("unresolved_count"))
     component_rows = counted.join(components, "component_path").join(unresolved, "component_path", "left").withColumn("unresolved_count", F.coalesce("unresolved_count", F.lit(0)))
+    state = wrapped.select(F.col("dir").alias("component_path"), F.col("source").alias("state_backend_kind"), F.col("region").alias("state_region"), "profile", C.account_of_role("provider_local").alias("_role_account"))
+    state = state.join(profiles.select("profile", "account_id"), "profile", "left").select("component_path", "state_backend_kind", "state_region", F.coalesce("account_id", "_role_account").alias("state_account_id"))
+    component_rows = component_rows.join(state, "component_path", "left")
+    component_rows = component_rows.select("component_path", F.lit("component").alias("kind"), *(c for c in component_rows.columns if c.endswith("_count") and c != "unresolved_count"), "environments_seen", "has_terragrunt", *(F.coalesce(c, F.lit("")).alias(c) for c in ("state_backend_kind", "state_account_id", "state_region")), "unresolved_count")
     calls = entities.filter("kind = 'module' and source <> ''").select(C.module_source_kind("source").alias("source_kind"), F.col("source").alias("source_raw"))
     walked = kinds.filter("dir_kind = 'module'").select(F.lit("local").alias("source_kind"), F.col("dir").alias("source_raw"))
     diagnostics = entities.filter("kind = 'diagnostic'").select(F.col("name").alias("code"), F.col("body").alias("message"), "file")
-    return Workspace(resources, _edges(rows), component_rows, summary.modules_table(calls, walked), diagnostics)
+    return Workspace(resources, _edges(rows, wrapped), component_rows, summary.modules_table(calls, walked), diagnostics)
 
 
 def _providers(rows: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -220,11 +268,13 @@ def _providers(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     return out.unionByName(rest)
 
 
-def _edges(rows: DataFrame) -> DataFrame:
+def _edges(rows: DataFrame, wrapped: DataFrame) -> DataFrame:
     """Explicit and inferred edges, once each, the first in source order."""
     at = ["component_path", "ord", "file", "line", "column"]
     explicit = rows.select("address", *at, F.posexplode("depends_on").alias("k", "target")).select("address", *at, "k", "target", F.lit("explicit_depends_on").alias("edge_kind"), F.lit("depends_on").alias("source_attr"))
     kind = F.when(F.col("kind") == "module", "module_input").otherwise("attr_ref")
     inferred = rows.select("address", *at, kind.alias("edge_kind"), F.posexplode("refs").alias("k", "r")).select("address", *at, (F.col("k") + 1_000_000).alias("k"), F.col("r.target").alias("target"), "edge_kind", F.col("r.attr").alias("source_attr"))
     both = explicit.unionByName(inferred).withColumn("to_address", C.resource_head("target")).filter("to_address is not null")
+    between = wrapped.select("address", F.col("dir").alias("component_path"), "ord", "file", "line", "column", F.posexplode("depends_on").alias("k", "to_address")).select("address", *at, "k", "to_address", F.lit("terragrunt_dependency").alias("edge_kind"), F.lit("dependency").alias("source_attr"))
+    both = both.drop("target").unionByName(between)
     return edge_ops.distinct_edges(both.withColumnRenamed("address", "from_address"), ["component_path", "ord", "k"]).select("from_address", "to_address", "edge_kind", "source_attr", "file", "line", "column")

@@ -43,6 +43,29 @@ TREE = {
         }
         """,
     "modules/n/main.tf": 'variable "n" {}\nresource "t_leaf" "y" { n = var.n }\nmodule "back" { source = "../m" }\n',
+    "root.hcl": """
+        locals {
+          zone           = "us-1"
+          aws_region     = local.zone
+          aws_account_id = "111122223333"
+        }
+        inputs = { label = "from-input" }
+        generate "backend" {
+          path      = "b.tf"
+          if_exists = "overwrite"
+          contents  = <<EOF
+        terraform {
+          backend "s3" {
+            bucket  = "state"
+            region  = "${local.zone}"
+            profile = "prod"
+          }
+        }
+        EOF
+        }
+        """,
+    "wrapped/terragrunt.hcl": 'include "root" { path = find_in_parent_folders("root.hcl") }\ndependency "app" { config_path = "../app" }\n',
+    "wrapped/main.tf": 'variable "label" { default = "own" }\nresource "t_w" "w" { label = "${var.label}/${local.zone}" }\n',
     "broken/main.tf": 'resource "t_bad" "z" {\n',
     ".terraform/skip.tf": 'resource "t_no" "z" {}\n',
 }
@@ -61,7 +84,7 @@ def workspace(spark, tmp_path_factory):
 def test_resources(workspace):
     rows = {r.address: r for r in workspace.resources.collect()}
     assert {a for a, r in rows.items() if r.kind == "resource"} == {
-        "t_one.a", "t_two.b[0]", "t_two.b[1]", 't_one.c["x"]', 't_one.c["y"]', "module.m.t_box.x[0]", "module.m.t_box.x[1]", "module.m.t_box.x[2]", "module.m.module.inner.t_leaf.y",
+        "t_one.a", "t_two.b[0]", "t_two.b[1]", 't_one.c["x"]', 't_one.c["y"]', "module.m.t_box.x[0]", "module.m.t_box.x[1]", "module.m.t_box.x[2]", "module.m.module.inner.t_leaf.y", "t_w.w",
     }
     assert json.loads(rows["t_one.a"].attributes_json)["title"] == "web-1"  # the first of two wins
     box = rows["module.m.t_box.x[0]"]
@@ -73,16 +96,24 @@ def test_resources(workspace):
     assert rows["module.m"].provider_source == "../modules/m" and rows["var.name"].kind == "variable"
 
 
+def test_wrapped_component(workspace):
+    r = {r.address: r for r in workspace.resources.collect()}["t_w.w"]
+    assert json.loads(r.attributes_json) == {"label": "from-input/us-1"}
+    assert (r.region, r.account_id, r.account_name) == ("us-1", "111122223333", "main")
+    c = {r.component_path: r for r in workspace.components.collect()}["wrapped"]
+    assert (c.state_backend_kind, c.state_account_id, c.state_region, c.has_terragrunt) == ("s3", "111122223333", "us-1", True)
+
+
 def test_edges(workspace):
     found = {(r.from_address, r.to_address, r.edge_kind, r.source_attr) for r in workspace.dependencies.collect()}
-    assert found == {("t_one.a", "t_two.b", "explicit_depends_on", "depends_on"), ("t_one.a", "t_one.c", "explicit_depends_on", "depends_on"), ("t_one.a", "t_two.b", "attr_ref", "link"), ("module.m", "t_two.b", "module_input", "peer")}
+    assert found == {("t_one.a", "t_two.b", "explicit_depends_on", "depends_on"), ("t_one.a", "t_one.c", "explicit_depends_on", "depends_on"), ("t_one.a", "t_two.b", "attr_ref", "link"), ("module.m", "t_two.b", "module_input", "peer"), ("component.wrapped", "component.wrapped/../app", "terragrunt_dependency", "dependency")}
 
 
 def test_summaries(workspace):
     rows = {r.component_path: r for r in workspace.components.collect()}
     app = rows["app"]
     assert (app.resource_count, app.module_count, app.provider_count, app.variable_count, app.local_count, app.output_count) == (9, 1, 1, 1, 1, 1)
-    assert set(rows) == {"app", "broken"} and rows["broken"].resource_count == 0
+    assert {"app", "broken", "wrapped"} <= set(rows) and rows["broken"].resource_count == 0
     assert {(r.source_raw, r.call_count) for r in workspace.modules.collect()} == {("../modules/m", 1), ("../n", 1), ("../m", 1), ("modules/m", 0), ("modules/n", 0)}
     assert [r.code for r in workspace.diagnostics.collect()] == ["TF1203"]
 
