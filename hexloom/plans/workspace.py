@@ -230,7 +230,7 @@ def read_workspace(spark: SparkSession, root: str, variables: dict[str, object]
     rows = stage(map_rows(every, _finish, FINAL))
     rows = stage(first_by(rows.filter(C.valid_address("address")), ["component_path", "address"], ["ord", "file", "line", "column"]))
 
-    profiles = profiles if profiles is not None else spark.range(0).select(F.lit("").alias("profile"), F.lit("").alias("account_id"), F.lit("").alias("account_name"))
+    profiles = profiles.select("profile", "account_id", "account_name") if profiles is not None else spark.range(0).select(F.lit("").alias("profile"), F.lit("").alias("account_id"), F.lit("").alias("account_name"))
     layered = wrapped.select(F.col("dir").alias("component_path"), F.col("type").alias("_region"), F.col("name").alias("_account"))
     named = provider_ops.account_names(profiles).select(F.col("account_id").alias("_account"), F.col("account_name").alias("_account_name"))
     resolved = _providers(rows, profiles).join(layered, "component_path", "left").join(named, "_account", "left")
