@@ -33,7 +33,7 @@ from hexloom.sources.workspace import directories, files
 PARSER_VERSION = "0.1.0"
 ENTITY = (
     "dir string, kind string, address string, type string, name string, provider_local string, provider_alias string, source string, "
-    "region string, profile string, count string, for_each string, body string, depends_on array<string>, file string, line int, column int, ord long"
+    "region string, profile string, count string, for_each string, providers string, body string, depends_on array<string>, file string, line int, column int, ord long"
 )
 _FIELDS = [f.split()[0] for f in ENTITY.split(", ")]
 FINAL = (
@@ -73,6 +73,12 @@ def _provider(e: list) -> tuple[str | None, str | None]:
     return (local, alias or None) if ok else (None, None)
 
 
+def _provider_map(e: list | None) -> dict[str, list]:
+    """Of a call's `providers`: the provider (name, alias) that each of the module's names stands for."""
+    pairs = ((k[1], _provider(v)) for k, v in e[1] if k[0] == "lit") if e and e[0] == "obj" else ()
+    return {k: list(p) for k, p in pairs if p[0]}
+
+
 def _wrapper(here: str, texts: dict[str, str], root: str, env: dict[str, str]):
     """What a component's wrapper file and its include chain say, and the entities for it."""
     r = Resolver(texts, here, root, env).resolve()
@@ -130,7 +136,7 @@ def evaluate_directory(rows: list[dict], variables: dict[str, object], environme
             raw = dict(map(tuple, attributes(x["body"]))).get("depends_on")
             yield _entity(**at, kind=name, address=address, type=labels[0], name=labels[1], provider_local=local, provider_alias=alias, body=rest("count", "for_each", "provider", "depends_on"), depends_on=_addresses(raw) if raw else [], **loops)
         elif name == "module" and labels:
-            yield _entity(**at, kind="module", address=f"module.{labels[0]}", name=labels[0], source=_text(get("source")) or "", body=rest("count", "for_each", "providers", "source"), **loops)
+            yield _entity(**at, kind="module", address=f"module.{labels[0]}", name=labels[0], source=_text(get("source")) or "", providers=json.dumps(_provider_map(get("providers"))), body=rest("count", "for_each", "providers", "source"), **loops)
         elif name == "provider" and labels:
             yield _entity(**at, kind="provider", address=f"provider.{labels[0]}" + (f".{_text(get('alias'))}" if _text(get("alias")) else ""), name=labels[0], provider_local=labels[0], provider_alias=_text(get("alias")), region=_text(get("region")), profile=_text(get("profile")), body=rest("alias"))
         elif name == "variable" and labels:
@@ -167,11 +173,13 @@ def _calls(r: dict) -> Iterator[dict]:
     target = posixpath.normpath(posixpath.join(r["dir"] or ".", r["source"]))
     if target in r["chain"]:
         return
-    for suffix in _instances(_load(r["count"]), _load(r["for_each"])) or [""]:
-        yield {"component_path": r["component_path"], "prefix": f"{r['prefix']}module.{r['name']}{suffix}.", "target": target, "inputs": json.dumps(inputs), "chain": [*r["chain"], target]}
+    given = json.loads(r["given"] or "{}") | json.loads(r["providers"] or "{}")  # what is declared overrides what is inherited
+    found = _instances(_load(r["count"]), _load(r["for_each"]))
+    for suffix in [""] if found is None else found:
+        yield {"component_path": r["component_path"], "prefix": f"{r['prefix']}module.{r['name']}{suffix}.", "target": target, "inputs": json.dumps(inputs), "given": json.dumps(given), "chain": [*r["chain"], target]}
 
 
-_CALL = "component_path string, prefix string, target string, inputs string, chain array<string>"
+_CALL = "component_path string, prefix string, target string, inputs string, given string, chain array<string>"
 
 
 def _finish(r: dict) -> Iterator[dict]:
@@ -180,6 +188,9 @@ def _finish(r: dict) -> Iterator[dict]:
     body = [[k, ev.substitute(v, inputs) if inputs else v] for k, v in json.loads(r["body"])]
     count, for_each = (ev.substitute(x, inputs) if x else None for x in (_load(r["count"]), _load(r["for_each"])))
     out = {k: r[k] for k in ("component_path", "kind", "type", "name", "provider_local", "provider_alias", "source", "region", "profile", "depends_on", "file", "line", "column", "ord")}
+    given = json.loads(r["given"] or "{}").get(r["provider_local"])
+    if given:
+        out["provider_local"], out["provider_alias"] = given
     linked = r["kind"] in ("resource", "data", "module")
     out["refs"] = [{"target": s, "attr": a} for k, v in body for kind, s, a in ev.references(v, (k,)) if kind in ("Resource", "Data", "Module")] if linked else []
     out["unresolved"] = sum(ev.unresolved(v) for _, v in body) if r["kind"] in ("resource", "data", "module", "output", "local") else 0
@@ -215,7 +226,7 @@ def read_workspace(spark: SparkSession, root: str, variables: dict[str, object]
 
     wrapped = entities.filter("kind = 'wrapper'")
     own = entities.filter("kind not in ('diagnostic', 'wrapper')").join(components.select(F.col("component_path").alias("dir")), "dir", "left_semi")
-    bound = own.select("*", F.col("dir").alias("component_path"), F.lit("").alias("prefix"), F.lit(None).cast("string").alias("inputs"), F.array("dir").alias("chain"))
+    bound = own.select("*", F.col("dir").alias("component_path"), F.lit("").alias("prefix"), F.lit(None).cast("string").alias("inputs"), F.lit(None).cast("string").alias("given"), F.array("dir").alias("chain"))
     inner = entities.filter("kind in ('resource', 'data', 'module')")
     parts, level = [bound], stage(map_rows(bound.filter("kind = 'module'"), _calls, _CALL))
     for _ in range(MAX_DEPTH):

@@ -12,6 +12,10 @@ TREE = {
           region  = "eu-west-1"
           profile = "prod"
         }
+        provider "aws" {
+          alias  = "far"
+          region = "ap-1"
+        }
         variable "name" { default = "web" }
         locals { full = "${var.name}-1" }
         resource "t_one" "a" {
@@ -26,6 +30,7 @@ TREE = {
           source = "../modules/m"
           size   = 3
           peer   = t_two.b.arn
+          providers = { aws = aws.far }
         }
         output "o" { value = t_one.a.id }
         """,
@@ -36,13 +41,14 @@ TREE = {
           count = var.size
           kept  = var.kept
           area  = "${var.size}-u"
+          provider = aws
         }
         module "inner" {
           source = "../n"
           n      = var.size
         }
         """,
-    "modules/n/main.tf": 'variable "n" {}\nresource "t_leaf" "y" { n = var.n }\nmodule "back" { source = "../m" }\n',
+    "modules/n/main.tf": 'variable "n" {}\nresource "t_leaf" "y" { \n n = var.n \n provider = aws \n }\nmodule "back" { source = "../m" }\n',
     "root.hcl": """
         locals {
           zone           = "us-1"
@@ -91,6 +97,8 @@ def test_resources(workspace):
     assert json.loads(box.attributes_json) == {"kept": 1, "area": {"__template_concat__": [3, "-u"]}}  # substituted, not reduced again
     assert (box.module_path, box.component_path, box.count_expr) == ("m", "app", "")
     assert json.loads(rows["module.m.module.inner.t_leaf.y"].attributes_json) == {"n": 3}
+    for a in ("module.m.t_box.x[0]", "module.m.module.inner.t_leaf.y"):
+        assert (rows[a].provider_local, rows[a].region) == ("aws.far", "ap-1")
     one = rows["t_one.a"]
     assert (one.region, one.account_id, one.account_name) == ("eu-west-1", "111122223333", "main")
     assert rows["module.m"].provider_source == "../modules/m" and rows["var.name"].kind == "variable"
@@ -112,7 +120,7 @@ def test_edges(workspace):
 def test_summaries(workspace):
     rows = {r.component_path: r for r in workspace.components.collect()}
     app = rows["app"]
-    assert (app.resource_count, app.module_count, app.provider_count, app.variable_count, app.local_count, app.output_count) == (9, 1, 1, 1, 1, 1)
+    assert (app.resource_count, app.module_count, app.provider_count, app.variable_count, app.local_count, app.output_count) == (9, 1, 2, 1, 1, 1)
     assert {"app", "broken", "wrapped"} <= set(rows) and rows["broken"].resource_count == 0
     assert {(r.source_raw, r.call_count) for r in workspace.modules.collect()} == {("../modules/m", 1), ("../n", 1), ("../m", 1), ("modules/m", 0), ("modules/n", 0)}
     assert [r.code for r in workspace.diagnostics.collect()] == ["TF1203"]
