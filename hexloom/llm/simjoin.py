@@ -263,7 +263,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
     sets = stage(map_arrow(texts, partial(_arrays, width=width), "fp long, own long, s array<long>").filter("fp = own").drop("own"))
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return stage(both.filter((NUM + DEN) * common >= NUM * (F.size("a") + F.size("b"))).select("u", "v").distinct())
+    return stage(both.filter((NUM + DEN) * common >= NUM * (F.size("a") + F.size("b"))).select("u", "v"))
 
 
 def heavy_links(docs: DataFrame, classes: DataFrame, x: int, counts: bytes, width: int, links: DataFrame) -> DataFrame:
