@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from hexloom.llm.arrow import batch, map_arrow, text_bytes
 from hexloom.llm.bytewords import WHITE_SPACE, separators, word_hashes
+from hexloom.llm.counters import SCHEMA, add_up, parts_of
 from hexloom.session import stage
 
 TABLE_BITS = 20
@@ -83,27 +84,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words[_distinct(words, of)]
         for k in range(TABLES):
             total[k] += np.bincount(_slot(words if k < WORD_TABLES else pairs, k), minlength=size)
-    parts = np.split(total.reshape(-1), PARTS * TABLES)
-    yield batch(["part", "counts"], [list(range(len(parts))), [p.astype("<i8").tobytes() for p in parts]], [pa.int32(), pa.binary()])
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            a = np.frombuffer(counts, "<i8")
-            sums[part] = sums[part] + a if part in sums else a.copy()
-    yield batch(["part", "counts"], [list(sums), [x.tobytes() for x in sums.values()]], [pa.int32(), pa.binary()])
+    yield parts_of(total, PARTS * TABLES)
 
 
 def ngram_counts(docs: DataFrame) -> np.ndarray:
     """The counts of all documents: TABLES x 2**TABLE_BITS numbers, however many documents there are."""
-    rows = map_arrow(docs.select(text_bytes().alias("text")), _counts, "part int, counts binary")
-    rows = map_arrow(rows.repartition(PARTS * TABLES, "part"), _sum, "part int, counts binary").collect()
-    found = np.zeros((PARTS * TABLES, (1 << TABLE_BITS) // PARTS), np.int64)
-    for part, counts in rows:
-        found[part] = np.frombuffer(counts, "<i8")
-    return found.reshape(TABLES, -1)
+    rows = map_arrow(docs.select(text_bytes().alias("text")), _counts, SCHEMA)
+    found = add_up(rows, PARTS * TABLES)
+    return (found if len(found) else np.zeros(TABLES << TABLE_BITS, np.int64)).reshape(TABLES, -1)
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from hexloom.llm.arrow import batch, map_arrow, text_bytes
 from hexloom.llm.bytewords import WHITE_SPACE, separators, word_hashes
 from hexloom.llm.components import connected_components
+from hexloom.llm.counters import add_up, parts_of
 from hexloom.session import shuffle_partitions, stage
 
 WIDTH = 5
@@ -89,8 +90,8 @@ def prefix_length(n: int) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the task's sketch, in parts."""
-    names = ["doc_id", "n", "fp", "small", "bits", "part", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "fp", "small", "bits", "part", "level", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()]
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for b in batches:
         sizes, prints, small, bits = [], [], [], []
@@ -103,19 +104,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
             sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1  # equal places within a text count once
         nothing = [None] * len(sizes)
-        yield batch(names, [b.column(0), sizes, prints, small, bits, nothing, nothing], types)
-    parts = np.split(np.minimum(sketch, 2**31 - 1).astype("<i4"), SKETCH_PARTS)
-    nothing = [None] * SKETCH_PARTS
-    yield batch(names, [*[nothing] * 5, list(range(SKETCH_PARTS)), [p.tobytes() for p in parts]], types)
-
-
-def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            a = np.frombuffer(counts, "<i4").astype(np.int64)
-            sums[part] = sums[part] + a if part in sums else a
-    yield batch(["part", "counts"], [list(sums), [np.minimum(x, 2**31 - 1).astype("<i4").tobytes() for x in sums.values()]], [pa.int32(), pa.binary()])
+        yield batch(names, [b.column(0), sizes, prints, small, bits, *[nothing] * 3], types)
+    parts = parts_of(sketch, SKETCH_PARTS)
+    yield batch(names, [*[[None] * SKETCH_PARTS] * 5, *parts.columns], types)
 
 
 def boundary(histogram: dict[int, int]) -> int:
@@ -319,10 +310,10 @@ def _sub_firsts(lists: DataFrame) -> DataFrame:
 def similarity_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    both = stage(map_arrow(docs, partial(_sets, width=width), "doc_id long, n long, fp long, small array<long>, bits array<long>, part int, counts binary"))
+    both = stage(map_arrow(docs, partial(_sets, width=width), "doc_id long, n long, fp long, small array<long>, bits array<long>, part int, level long, counts binary"))
     sets = both.filter("part is null").select("doc_id", "n", "fp", "small", "bits")
-    parts = map_arrow(both.filter("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part"), _add_sketches, "part int, counts binary")
-    counts = b"".join(bytes(r[1]) for r in sorted(parts.collect()))  # 4 MiB, however many documents there are
+    # 4 MiB, however many documents there are
+    counts = np.minimum(add_up(both.filter("part is not null").select("part", "level", "counts"), SKETCH_PARTS), 2**31 - 1).astype("<i4").tobytes()
     classes = stage(sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("bits").alias("bits")))
     x = boundary({r[0]: r[1] for r in classes.filter(F.col("n") <= KEPT).groupBy("n").count().collect()})
     links = light_links(classes, x)
