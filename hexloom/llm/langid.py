@@ -12,11 +12,12 @@ gives no rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import math
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -37,6 +38,9 @@ ROUNDS = 3
 LONGEST_WORD = 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
+#: A match of the automaton is one number: the piece, and over it the length.
+_BITS = 24
+_PIECE = (1 << _BITS) - 1
 
 
 def pieces(path: str | None = None) -> dict[str, int]:
@@ -53,15 +57,16 @@ class Pieces:
         self.number = pieces(path)
         self.finder = ahocorasick.Automaton()
         for x, k in self.number.items():
-            self.finder.add_word(x, (len(x), k))
+            self.finder.add_word(x, len(x) << _BITS | k)
         self.finder.make_automaton()
 
     def edges(self, word: str) -> tuple[int, list[tuple[int, int, int]]]:
         """The length of a word (with its start mark) and the (start, end, piece) in it, by their ends."""
         text = _START + word
         out, single = [], [False] * len(text)
-        for last, (n, k) in self.finder.iter(text):
-            out.append((last + 1 - n, last + 1, k))
+        for last, v in self.finder.iter(text):
+            n = v >> _BITS
+            out.append((last + 1 - n, last + 1, v & _PIECE))
             if n == 1:
                 single[last] = True
         if not all(single):
@@ -100,44 +105,84 @@ def fit_pieces(words: dict[str, int], vocabulary: Pieces, rounds: int = ROUNDS)
 class Model:
     def __init__(self, languages: list[str], p: np.ndarray, vocabulary: Pieces):
         self.languages, self.vocabulary = languages, vocabulary
-        self.p = [x.tolist() for x in p]
-        self.words, self.chunks = Generations(200_000), Generations(200_000)
-
-    def word(self, word: str) -> list[float]:
-        """log probabilities of a word under each language; very long words go by parts."""
-        found = self.words.get(word)
-        if found is None:
-            found = [0.0] * len(self.p)
-            for i in range(0, len(word), LONGEST_WORD):
-                length, edges = self.vocabulary.edges(word[i : i + LONGEST_WORD])
-                found = [x + math.log(forward(length, edges, q)[length] + 1e-300) for x, q in zip(found, self.p)]
-            if len(word) <= LONGEST_WORD:
-                self.words.put(word, found)
-        return found
-
-    def chunk(self, chunk: bytes) -> tuple | None:
-        """Scores of the words in a white-space-separated chunk, 0 if it has none."""
-        parts = [self.word(w) for w in _LETTERS.findall(chunk.decode("utf-8", "replace").lower())]
-        found = tuple(map(sum, zip(*parts))) if parts else 0
-        if len(chunk) <= LONGEST_WORD:
-            self.chunks.put(chunk, found)
-        return found
-
-    def text(self, text: bytes) -> tuple[str, float]:
+        self.p = np.ascontiguousarray(p.T)  # pieces x languages
+        self.words, self.chunks, self.now = Generations(200_000), Generations(200_000), {}
+
+    def learn(self, words: list[str]) -> None:
+        """Caches the log probabilities of new words under each language, all words at once."""
+        parts = [(w, w[i : i + LONGEST_WORD]) for w in words for i in range(0, len(w), LONGEST_WORD)]  # very long words go by parts
+        matches = [list(self.vocabulary.finder.iter(_START + part)) for _, part in parts]
+        counts = list(map(len, matches))
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(matches)), np.int64, 2 * sum(counts)).reshape(-1, 2)
+        lengths = np.asarray([len(part) + 1 for _, part in parts])
+        row, end, size, piece = np.repeat(np.arange(len(parts)), counts), flat[:, 0] + 1, flat[:, 1] >> _BITS, flat[:, 1] & _PIECE
+        wide = int(lengths.max()) + 1
+        # letters that are no piece of their own
+        bare = np.arange(1, wide + 1)[None, : wide - 1] <= lengths[:, None]
+        one = size == 1
+        bare[row[one], end[one] - 1] = False
+        more_row, more_end = np.nonzero(bare)
+        row, end = np.concatenate([row, more_row]), np.concatenate([end, more_end + 1])
+        size = np.concatenate([size, np.ones(len(more_row), np.int64)])
+        piece = np.concatenate([piece, np.full(len(more_row), len(self.vocabulary.number))])
+        start = end - size
+        a = np.zeros((len(parts) * wide, self.p.shape[1]))  # the forward sums, by word and end
+        a[::wide] = 1.0
+        order = np.argsort(end, kind="stable")
+        ends = np.searchsorted(end[order], np.arange(1, wide + 1))
+        for lo, hi in zip(ends, ends[1:]):
+            at = order[lo:hi]
+            if len(at):
+                np.add.at(a, row[at] * wide + end[at], a[row[at] * wide + start[at]] * self.p[piece[at]])
+        logs = np.log(a[np.arange(len(parts)) * wide + lengths] + 1e-300).tolist()
+        sums: dict[str, list[float]] = {}
+        for (w, _), x in zip(parts, logs):
+            sums[w] = [p + q for p, q in zip(sums[w], x)] if w in sums else x
+        self.now |= sums
+        for w, x in sums.items():
+            if len(w) <= LONGEST_WORD:
+                self.words.put(w, x)
+
+    def texts(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        """The language and its posterior probability, for each text."""
         if not self.languages:
-            return "und", 0.0
-        rows = []
-        for chunk, times in Counter(text.split()).items():
-            found = self.chunks.get(chunk)
+            return [("und", 0.0)] * len(texts)
+        counts = [Counter(t.split()) for t in texts]
+        fresh: dict[bytes, list[str]] = {}
+        known: dict[bytes, object] = {}
+        for c in counts:
+            for chunk in c:
+                if chunk not in known and chunk not in fresh:
+                    found = self.chunks.get(chunk)
+                    if found is None:
+                        fresh[chunk] = _LETTERS.findall(chunk.decode("utf-8", "replace").lower())
+                    else:
+                        known[chunk] = found
+        self.now = {}
+        new = set()
+        for w in {w for words in fresh.values() for w in words}:
+            found = self.words.get(w)
             if found is None:
-                found = self.chunk(chunk)
-            if found:
-                rows.append([x * times for x in found])
-        if not rows:
-            return "und", 0.0
-        s = np.asarray(rows).sum(0)
-        k = int(np.argmax(s))
-        return self.languages[k], float(1 / np.exp(s - s[k]).sum())
+                new.add(w)
+            else:
+                self.now[w] = found
+        new = sorted(new)
+        for i in range(0, len(new), 4096):
+            self.learn(new[i : i + 4096])
+        for chunk, words in fresh.items():
+            known[chunk] = found = self.now[words[0]] if len(words) == 1 else [sum(x) for x in zip(*(self.now[w] for w in words))] if words else 0
+            if len(chunk) <= LONGEST_WORD:
+                self.chunks.put(chunk, found)
+        out = []
+        for c in counts:
+            rows = [(known[chunk], n) for chunk, n in c.items() if known[chunk]]
+            if not rows:
+                out.append(("und", 0.0))
+                continue
+            s = np.asarray([n for _, n in rows], float) @ np.asarray([x for x, _ in rows])
+            k = int(np.argmax(s))
+            out.append((self.languages[k], float(1 / np.exp(s - s[k]).sum())))
+        return out
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +202,9 @@ def _predict(batches: Iterator[pa.RecordBatch], languages: list[str], p: bytes,
         _own.clear()
         _own[key] = Model(languages, np.frombuffer(p).reshape(len(languages), -1) if languages else np.zeros((0, 1)), Pieces(path))
     model = _own[key]
+    gc.disable()  # millions of small lists live in the caches and none is part of a cycle
     for b in batches:
-        found = [model.text(t) for t in b.column("text").to_pylist()]
+        found = model.texts(b.column("text").to_pylist())
         yield batch(["doc_id", "held_out", "lang_pred", "score"], [b.column("doc_id"), b.column("held_out"), [x for x, _ in found], [y for _, y in found]], [pa.int64(), pa.bool_(), pa.string(), pa.float64()])
 
 
