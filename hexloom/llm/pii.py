@@ -113,16 +113,17 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = occurrences.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     seeded = stage(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeds")).filter(F.col("seeds") >= 1).filter(F.col("n") >= SUPPORT).select("pattern", "n"))
     edges = stage(edges.join(seeded, "pattern"))  # pattern, instance, kind, n
-    scores = edges.filter("kind is not null").select("instance", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct()
+    seeds = edges.filter("kind is not null").select("instance", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct()
     new = None
     for _ in range(rounds):
+        # a round's scores replace the last round's: an instance counts once, so that no confidence comes to 1
+        scores = seeds if new is None else seeds.unionByName(new)
         weighed = edges.join(stage(scores), "instance").groupBy("pattern", "k").agg(F.sum("score").alias("support"), F.first("n").alias("n"))
-        sure = stage(weighed.withColumn("confidence", F.col("support") / (F.col("n") + SMOOTH)).filter(F.col("confidence").between(CONFIDENT, 1.0) & (F.col("support") >= SUPPORT)).select("pattern", "k", "confidence"))
+        sure = stage(weighed.withColumn("confidence", F.col("support") / (F.col("n") + SMOOTH)).filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern", "k", "confidence"))
         if sure.isEmpty():
             break
         reached = edges.filter("kind is null").join(sure, "pattern").groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
         new = stage(reached)
-        scores = scores.unionByName(new)
     if new is None:
         return edges.select("instance", F.col("kind").alias("k")).limit(0)
     best = new.filter(F.col("score") >= THRESHOLD).groupBy("instance").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))

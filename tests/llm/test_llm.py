@@ -199,6 +199,16 @@ def test_personal_data(spark, tiny):
     assert pii.personal_data(frame(spark, [])).count() == 0
 
 
+def test_patterns_with_many_unknown_instances(spark):
+    def edges(pattern, seeds, unknown):
+        return [(f"{pattern}{i}", 0 if i < seeds else None, [pattern]) for i in range(seeds + unknown)]
+
+    rows = edges("ten", 90, 10) + edges("two", 30, 2) + edges("one", 30, 1) + edges("none", 30, 0) + edges("many", 30, 20)
+    got = pii.bootstrap(frame(spark, rows, "instance string, kind int, patterns array<string>")).collect()
+    want = {f"ten{i}" for i in range(90, 100)} | {"two30", "two31", "one30"}
+    assert sorted((r.instance, r.k) for r in got) == sorted((x, 0) for x in want)
+
+
 def test_native_plans_run_no_python(spark):
     for df in (pii.personal_data(frame(spark, [(1, "a@b.cd")])), rules.quality_rules(frame(spark, [(1, "a b")]))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
