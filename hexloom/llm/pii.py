@@ -1,12 +1,18 @@
 """Personal data by base patterns and bootstrapped contextual extraction (operator 2), DataFrame functions only.
 
 Base spans come from fixed patterns and checks. Contextual extraction starts from them: each base entity, and each
-other identifier-like token, is an instance with lexical patterns around it (its two left words; its left and right
-word). Spark scores the bipartite graph of patterns and instances in rounds: a pattern's confidence in a kind is the
-score that its distinct instances have for that kind, over their number; an unknown instance's score is the
-noisy-or of the confident patterns around it. Unknown instances that reach the threshold become spans of that kind,
-wherever they occur, unless they overlap a base span. Edges are counted before they are shuffled, and only patterns
-that a base entity has are kept in the graph.
+other token that stands in a slot of a base entity, is an instance with lexical patterns around it (its two left
+words; its left and right word). Words are what white space parts, whatever they hold; a base entity, or a number in
+groups, is one word. Spark scores the bipartite graph of patterns and instances in rounds: a pattern's confidence in a
+kind is the score that its distinct instances have for that kind, over their number; an unknown instance's score is
+the noisy-or of the confident patterns around it. Unknown instances that reach the threshold become spans of that
+kind, without punctuation at their ends, wherever they occur, unless they overlap a base span.
+
+The texts with base entities give the patterns first. A second scan looks for the fillers of their slots, and a third
+one for the tokens found; both look them up in broadcast blocks of bounded size, and edges are counted before they
+are shuffled. The slots of patterns with enough base entities are filled first: where none of them is sure, no token
+can be found, and the other slots are left out. Patterns
+are 64-bit hashes in the graph.
 
 Positions are code points: the pieces between matches and the matches themselves are summed up, once per text.
 Patterns use possessive quantifiers and start only where a run starts, so that a long run is scanned once.
@@ -30,14 +36,18 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]++"
-_ANY = "|".join([*PATTERNS.values(), _TOKEN])
+_SPACE = r"[\x20\x09-\x0D]"
+#: In marked texts a base entity stands between the mark of its kind and the end mark; blanks within it are glued.
+_MARKS, _END, _GLUE = "\x01\x02\x03\x04", "\x05", "\x07"
+_PUNCTUATION = ".,;:!?()<>[]{}\"'"
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9]?)"
-CONTEXT = 64
 MIN_DIGITS = 4
 ROUNDS = 3
 CONFIDENT, SUPPORT, SMOOTH = 0.8, 4.0, 1.0
 THRESHOLD = 0.8
+#: Patterns or instances that are broadcast at once; words of a text whose lengths are added up at once.
+BLOCK = 1_000_000
+CHUNK = 1024
 
 
 def _sql(s: str) -> str:
@@ -61,15 +71,14 @@ def valid(kind: str, x: str) -> str:
     return f"if({_digits(x)} between 12 and 19, transform(array(regexp_replace({x}, '[^0-9]', '')), d -> {luhn})[0], false)"
 
 
-def _spans(text: str, pattern: str, more: str = "") -> str:
-    """SQL: the matches of a pattern in a text, as (s, e, t); `more` adds fields from the pieces p and the match's number i."""
+def _spans(text: str, pattern: str) -> str:
+    """SQL: the matches of a pattern in a text, as (s, e, t)."""
     start = "named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int>>))"
     step = "named_struct('at', a.at + length(p[i]) + length(m[i]), 'out', array_append(a.out, named_struct('s', a.at + length(p[i]), 'e', a.at + length(p[i]) + length(m[i]))))"
     fold = f"aggregate(sequence(0, size(m) - 1), {start}, (a, i) -> {step}, a -> a.out)"
-    zipped = f"transform(array({fold}), q -> transform(sequence(0, size(m) - 1), i -> named_struct('s', q[i].s, 'e', q[i].e, 't', m[i]{more})))[0]"
-    of = "array<struct<s:int,e:int,t:string" + (",l:string,r:string>>" if more else ">>")
+    zipped = f"transform(array({fold}), q -> transform(sequence(0, size(m) - 1), i -> named_struct('s', q[i].s, 'e', q[i].e, 't', m[i])))[0]"
     pieces = f"transform(array(split({text}, {pattern}, -1)), p -> {zipped})[0]"
-    return f"transform(array(regexp_extract_all({text}, {pattern}, 0)), m -> if(size(m) = 0, cast(array() as {of}), {pieces}))[0]"
+    return f"transform(array(regexp_extract_all({text}, {pattern}, 0)), m -> if(size(m) = 0, cast(array() as array<struct<s:int,e:int,t:string>>), {pieces}))[0]"
 
 
 def base_spans(kind: str) -> Column:
@@ -86,26 +95,89 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", name(x["k"]), x["s"], x["e"])), ",")
 
 
+def _marked(kind: int) -> str:
+    """SQL: the column marked with the valid matches of a kind between marks, and other numbers in groups glued."""
+    pattern = PATTERNS[KINDS[kind]]
+    glued = f"translate(x, ' ', '{_GLUE}')"
+    mark = f"case when {valid(KINDS[kind], 'x')} then concat('{_MARKS[kind]}', {glued}, '{_END}') when {_digits('x')} >= {MIN_DIGITS} then {glued} else x end"
+    body = f"concat(array_join(transform(m, (x, i) -> concat(p[i], {mark})), ''), p[size(m)])"
+    pieces = f"transform(array(split(marked, {_sql(pattern)}, -1)), p -> {body})[0]"
+    hint = {"email": "size(email) > 0", "phone": "contains(marked, '+')"}.get(KINDS[kind], "marked rlike '[0-9]'")
+    return f"if({hint}, transform(array(regexp_extract_all(marked, {_sql(pattern)}, 0)), m -> if(size(m) = 0, marked, {pieces}))[0], marked)"
+
+
 def extract(docs: DataFrame) -> DataFrame:
-    """A row per document, staged: doc_id, row, base spans of each kind, and all instances with their contexts."""
+    """A row per document, staged: doc_id, row, base spans of each kind, and the text with marked base entities."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    contexts = f", 'l', lower(right(p[i], {CONTEXT})), 'r', lower(left(p[i + 1], {CONTEXT}))"
-    around = F.expr(f"if(text rlike '[0-9@]', filter({_spans('text', _sql(_ANY), contexts)}, x -> contains(x.t, '@') or {_digits('x.t')} >= {MIN_DIGITS}), cast(array() as array<struct<s:int,e:int,t:string,l:string,r:string>>))")
-    df = df.select("doc_id", F.monotonically_increasing_id().alias("row"), *(base_spans(k).alias(k) for k in KINDS), around.alias("instances"))
+    own = F.translate("text", _MARKS + _END + _GLUE, "\x06" * 6)
+    df = df.select("doc_id", F.monotonically_increasing_id().alias("row"), *(base_spans(k).alias(k) for k in KINDS), own.alias("marked"))
+    for k in range(len(KINDS)):
+        df = df.withColumn("marked", F.expr(_marked(k)))
     return stage(df)
 
 
+def _bare(x: Column) -> Column:
+    """A lower-case token without punctuation at its ends, or the token where nothing else is in it."""
+    x = F.lower(x)
+    bare = F.btrim(x, F.lit(_PUNCTUATION))
+    return F.when(bare != "", bare).otherwise(x)
+
+
+def _slots(found: DataFrame) -> DataFrame:
+    """A row for each word and each of its patterns: t, pattern."""
+    zipped = "arrays_zip(w, concat(array(''), w), concat(array('', ''), w), slice(w, 2, size(w)))"
+    words = f"split(btrim(lower(marked), ' \t\n\x0b\x0c\r'), {_sql(_SPACE + '++')}, -1)"
+    w = found.select(F.expr(f"inline(transform(array({words}), w -> {zipped})[0])").alias("t", "l1", "l2", "r1")).filter("t <> ''")
+    left = F.when((F.col("l2") != "") & (F.col("l1") != ""), F.xxhash64(F.lit("L"), "l2", "l1"))
+    both = F.when((F.col("l1") != "") & (F.col("r1") != ""), F.xxhash64(F.lit("B"), "l1", "r1"))
+    return w.select("t", F.explode(F.array(left, both)).alias("pattern")).filter("pattern is not null")
+
+
+def _in_blocks(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows joined with keys (staged, each key once), which are broadcast in blocks of bounded size."""
+    n = -(-keys.count() // BLOCK) or 1
+    out = None
+    for b in range(n):
+        part = rows.join(F.broadcast(keys.filter(F.pmod(F.hash(key), F.lit(n)) == b)), key)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _fillers(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The distinct edges between patterns and the tokens in their slots that hold no base entity."""
+    fillers = _in_blocks(_slots(found), patterns, "pattern").filter(f"not t rlike '[{_MARKS}]'")
+    return fillers.select("pattern", _bare(F.col("t")).alias("instance"), F.lit(None).cast("int").alias("kind")).distinct()
+
+
 def graph(found: DataFrame) -> DataFrame:
-    """The occurrences of instances: row, s, e, instance, kind (null if unknown) and their patterns, staged."""
-    o = found.filter(F.size("instances") > 0).select("row", F.explode("instances").alias("x")).select("row", "x.*")
-    kind = "case " + " ".join(f"when t rlike {_sql('^(?:' + PATTERNS[k] + ')$')} and {valid(k, 't')} then {i}" for i, k in enumerate(KINDS)) + " end"
-    word = r"[^\x20\x09-\x0D]"
-    space = r"[\x20\x09-\x0D]"
-    left2 = F.regexp_extract("l", f"(?:^|{space})({word}+{space}+{word}+){space}*$", 1)
-    left1 = F.regexp_extract("l", f"({word}+){space}*$", 1)
-    right1 = F.regexp_extract("r", f"^{space}*({word}+)", 1)
-    patterns = F.array(F.when(left2 != "", F.concat(F.lit("L "), left2)), F.when((left1 != "") & (right1 != ""), F.concat_ws(" ", F.lit("B"), left1, right1)))
-    return stage(o.select("row", "s", "e", F.lower("t").alias("instance"), F.expr(kind).alias("kind"), F.array_compact(patterns).alias("patterns")))
+    """The distinct edges of instances: instance, kind (null if unknown) and patterns (one in each row), staged."""
+    some = found.filter(" + ".join(f"size({k})" for k in KINDS) + " > 0")
+    seed = _slots(some).filter(f"t rlike '[{_MARKS}]'").select("pattern", F.explode(F.expr(f"regexp_extract_all(t, '[{_MARKS}][^{_END}]*+', 0)")).alias("x"))
+    seeds = stage(seed.select("pattern", F.expr("substr(x, 2)").alias("instance"), (F.ascii("x") - 1).alias("kind")).distinct())
+    strong = stage(seeds.groupBy("pattern", "kind").count().filter(F.col("count") >= SUPPORT).groupBy("pattern").agg(F.max("count").alias("seeds")))
+    edges = seeds
+    if not strong.isEmpty():
+        # the first round rests on patterns of enough base entities: where none of them is sure, no round finds a token
+        filled = stage(_fillers(found, strong.select("pattern")).unionByName(seeds.join(strong, "pattern", "left_semi")))
+        n = filled.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+        if not strong.join(n, "pattern").filter(F.col("seeds") / (F.col("n") + SMOOTH) >= CONFIDENT).isEmpty():
+            edges = edges.unionByName(_fillers(found, stage(seeds.select("pattern").distinct())))
+    return stage(edges.select("instance", "kind", F.array("pattern").alias("patterns")))
+
+
+def occurrences(found: DataFrame, more: DataFrame) -> DataFrame:
+    """row, s, e and k of all tokens that are instances found by their context."""
+    plain = f"translate(array_join(x, ' '), '{_MARKS}{_END}', '')"
+    chunks = f"transform(sequence(0, (size(w) - 1) div {CHUNK}), c -> slice(w, int(c * {CHUNK} + 1), {CHUNK}))"
+    starts = f"aggregate(c, array(0), (a, x) -> array_append(a, element_at(a, -1) + length({plain}) + 1))"
+    zipped = f"transform(array({chunks}), c -> arrays_zip(c, slice({starts}, 1, size(c))))[0]"
+    parts = found.select("row", F.expr(f"inline(transform(array(split(marked, {_sql(_SPACE)}, -1)), w -> {zipped})[0])").alias("x", "at"))
+    words = parts.select("row", "x", "at", F.posexplode("x").alias("i", "t")).filter(f"t <> '' and not t rlike '[{_MARKS}]'").withColumn("instance", _bare(F.col("t")))
+    hits = _in_blocks(words, more, "instance")
+    before = F.expr(f"at + if(i = 0, 0, transform(array(slice(x, 1, i)), x -> length({plain}) + 1)[0])")
+    core = F.btrim("t", F.lit(_PUNCTUATION))
+    s = before + F.when(core != "", F.length("t") - F.length(F.ltrim("t", F.lit(_PUNCTUATION)))).otherwise(0)
+    return hits.select("row", s.cast("int").alias("s"), (s + F.length(F.when(core != "", core).otherwise(F.col("t")))).cast("int").alias("e"), "k")
 
 
 def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -133,12 +205,11 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, and spans (base and contextual ones)."""
     found = extract(docs)
-    occurrences = graph(found)
-    more = bootstrap(occurrences, rounds)
+    more = bootstrap(graph(found), rounds)
     spans = F.concat(*(F.expr(f"transform({k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))") for i, k in enumerate(KINDS)))
     out = found.select("doc_id", "row", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), spans.alias("base"))
     if not more.isEmpty():
-        new = occurrences.filter("kind is null").join(more, "instance").groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("new"))
+        new = occurrences(found, more).groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("new"))
         out = out.join(stage(new), "row", "left")
         apart = F.filter("new", lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
         every = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.concat("base", apart))

@@ -209,6 +209,22 @@ def test_patterns_with_many_unknown_instances(spark):
     assert sorted((r.instance, r.k) for r in got) == sorted((x, 0) for x in want)
 
 
+def test_contexts_find_tokens_of_any_kind(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    monkeypatch.setattr(pii, "BLOCK", 5)
+    rows = [(i, f"please mail me at user{i}@host{i}.com, now thanks") for i in range(60)]
+    rows += [(100 + i, f"my card number is 4111 1111 1111 1{m} ok") for i, m in enumerate(("111", "129", "137", "145", "152", "160", "178", "186", "194", "202"))]
+    new = ["jane.doe@intranet", "jane(at)example.com", "jdoe", "jdoe42", "42jdoe"]
+    rows += [(200 + i, f"é🙂 a@b.cd\t\n x  mail me at {t}, now thanks") for i, t in enumerate(new)]
+    rows += [(300, "elsewhere (JDOE) and jdoe x@y.zz jdoe"), (301, "my card number is 4111 1111 1111 1112 ok"), (302, "come home at noon today")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i, t in enumerate(new):
+        at = rows[70 + i][1].index(t)
+        assert got[200 + i] == f"email:3:9,email:{at}:{at + len(t)}"
+    assert got[300] == "email:11:15,email:21:25,email:26:32,email:33:37"
+    assert got[301] == "card:18:37" and got[302] == ""
+
+
 def test_native_plans_run_no_python(spark):
     for df in (pii.personal_data(frame(spark, [(1, "a@b.cd")])), rules.quality_rules(frame(spark, [(1, "a b")]))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
