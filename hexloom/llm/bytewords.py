@@ -1,7 +1,8 @@
 """64-bit hashes of all words of a text at once, from its bytes.
 
-A word's hash is a polynomial in its bytes modulo 2**64, taken from running sums over the whole text, so that no
-word is touched one by one; its length is mixed in, and the bits are mixed last.
+A word's hash is a polynomial in its bytes modulo 2**64, taken from running sums over a block of the text, so that
+no word is touched one by one; its length is mixed in, and the bits are mixed last. Blocks end between words, so that
+memory beyond the hashes themselves is bounded, however long a text is; a longer word is a block of its own.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ _BASE = 0x9E3779B97F4A7C15
 _LENGTH, _MIX = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _S1, _S2 = np.uint64(32), np.uint64(29)
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
+BLOCK_BYTES = 1 << 17
 
 
 def separators(chars: bytes) -> np.ndarray:
@@ -41,11 +43,27 @@ _powers = _Powers()
 
 def word_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
     """The hashes of the words of a text, in order."""
-    n = len(text)
+    if len(text) <= BLOCK_BYTES:
+        return _block_hashes(np.frombuffer(text, np.uint8), table)
+    a, at, out = np.frombuffer(text, np.uint8), 0, []
+    while at < len(a):
+        end = min(len(a), at + BLOCK_BYTES)
+        while end < len(a):  # on to the end of a word
+            stops = np.flatnonzero(table[a[end : end + BLOCK_BYTES]])
+            if len(stops):
+                end += int(stops[0])
+                break
+            end = min(len(a), end + BLOCK_BYTES)
+        out.append(_block_hashes(a[at:end], table))
+        at = end
+    return np.concatenate(out)
+
+
+def _block_hashes(a: np.ndarray, table: np.ndarray) -> np.ndarray:
+    n = len(a)
     if not n:
         return np.zeros(0, np.uint64)
     _powers.upto(n)
-    a = np.frombuffer(text, np.uint8)
     inside = np.empty(n + 2, np.int8)
     inside[0] = inside[-1] = 0
     inside[1:-1] = ~table[a]

@@ -15,8 +15,9 @@ Shingles are 64-bit hashes. Lists of very frequent shingles are salted by the co
 documents, of fixed size; it also gives the order of shingles, which decides speed and never results.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; texts of fewer
-than `width` words are one shingle; repeated rows get a row each and are copies of each other; an empty table gives
-no rows; extra columns are ignored, whatever their names.
+than `width` words are one shingle; repeated rows get a row each and are copies of each other; rows without a doc_id
+link as others do, and a component in which no row has one has a null component_id; very long texts are hashed in
+blocks and compared whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.arrow import batch, map_arrow, text_bytes
+from hexloom.llm.arrow import batch, map_arrow, row_key, text_bytes
 from hexloom.llm.bytewords import WHITE_SPACE, separators, word_hashes
 from hexloom.llm.components import connected_components
 from hexloom.llm.counters import add_up, parts_of
@@ -53,6 +54,8 @@ SMALL_LIST = 2048
 FIRST_MEMBERS = 512
 #: Parity bits per set, in longs: sets differ in at least as many shingles as their bits differ.
 BIT_WORDS = 8
+#: Rows that a task gathers before it gives them out.
+MOST_ROWS = 100_000
 #: Ids, of 8 bytes, that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -88,25 +91,30 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+_BITS = [f"b{k}" for k in range(BIT_WORDS)]
+_SETS = "doc_id long, row_key long, n long, fp long, small array<long>, " + "".join(f"{c} long, " for c in _BITS) + "part int, level long, counts binary"
+_SET_NAMES = [c.split()[0] for c in _SETS.split(", ")]
+_SET_TYPES = [*[pa.int64()] * 4, pa.list_(pa.int64()), *[pa.int64()] * BIT_WORDS, pa.int32(), pa.int64(), pa.binary()]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the task's sketch, in parts."""
-    names = ["doc_id", "n", "fp", "small", "bits", "part", "level", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()]
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for b in batches:
-        sizes, prints, small, bits = [], [], [], []
-        for text in b.column(1).to_pylist():
-            s = shingles(text, width)
+        sizes, prints, small = [], [], []
+        bits = np.zeros((b.num_rows, BIT_WORDS), np.int64)
+        for i, text in enumerate(b.column(2)):
+            s = shingles(text.as_py(), width)
             sizes.append(len(s))
             prints.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-            small.append(s.view(np.int64).tolist() if len(s) <= KEPT else None)
+            small.append(s.view(np.int64) if len(s) <= KEPT else None)
             odd = np.bincount((s % np.uint64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
-            bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+            bits[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
             sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1  # equal places within a text count once
         nothing = [None] * len(sizes)
-        yield batch(names, [b.column(0), sizes, prints, small, bits, *[nothing] * 3], types)
+        yield batch(_SET_NAMES, [b.column(0), b.column(1), sizes, prints, small, *np.ascontiguousarray(bits.T), *[nothing] * 3], _SET_TYPES)
     parts = parts_of(sketch, SKETCH_PARTS)
-    yield batch(names, [*[[None] * SKETCH_PARTS] * 5, *parts.columns], types)
+    yield batch(_SET_NAMES, [*[[None] * SKETCH_PARTS] * (5 + BIT_WORDS), *parts.columns], _SET_TYPES)
 
 
 def boundary(histogram: dict[int, int]) -> int:
@@ -131,22 +139,26 @@ def _partners(n: int, x: int) -> list[int]:
 
 
 def _subsets(batches: Iterator[pa.RecordBatch], x: int) -> Iterator[pa.RecordBatch]:
+    """(subset, set, role) rows, given out as they pile up: a set may have thousands of subsets."""
+    types = [pa.int64(), pa.int64(), pa.int32()]
     for b in batches:
-        keys, prints, roles = [], [], []
+        out: tuple[list, list, list] = ([], [], [])
         for fp, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             s = np.sort(np.asarray(s, np.int64))
             for m in _partners(len(s), x):
                 a, c = min(len(s), m), max(len(s), m)
-                for subset in combinations(range(len(s)), needed_overlap(a, c)):
-                    keys.append(xxhash.xxh3_64_intdigest(s[list(subset)].tobytes(), seed=a * 64 + c) - (1 << 63))
-                    prints.append(fp)
-                    roles.append((len(s) > m) - (len(s) < m))
-        yield batch(["key", "fp", "role"], [keys, prints, roles], [pa.int64(), pa.int64(), pa.int32()])
+                keys = [xxhash.xxh3_64_intdigest(s[list(subset)].tobytes(), seed=a * 64 + c) - (1 << 63) for subset in combinations(range(len(s)), needed_overlap(a, c))]
+                for have, new in zip(out, (keys, [fp] * len(keys), [(len(s) > m) - (len(s) < m)] * len(keys))):
+                    have += new
+            if len(out[0]) > MOST_ROWS:
+                yield batch(["key", "fp", "role"], list(out), types)
+                out = ([], [], [])
+        yield batch(["key", "fp", "role"], list(out), types)
 
 
-def light_links(classes: DataFrame, x: int) -> DataFrame:
+def light_links(sets: DataFrame, x: int) -> DataFrame:
     """Edges among sets of which the smaller has at most x shingles. Sets that share a subset are all linked."""
-    sets = classes.filter(F.col("n").between(1, x * DEN // NUM)).select("fp", "small")
+    sets = sets.filter(F.col("n").between(1, x * DEN // NUM)).select("fp", "small").distinct()
     found = stage(map_arrow(sets, partial(_subsets, x=x), "key long, fp long, role int"))
     least = found.groupBy("key").agg(F.min(F.when(F.col("role") <= 0, F.col("fp"))).alias("lower"), F.min(F.when(F.col("role") >= 0, F.col("fp"))).alias("upper"), F.max("fp").alias("other"))
     least = stage(least.filter("lower is not null and upper is not null and (lower <> upper or other <> lower)").drop("other"))
@@ -159,14 +171,14 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, x: int, counts: byt
     seen: set[int] = set()
     for b in batches:
         tokens, salts, prints, sizes, places = [], [], [], [], []
-        for text in b.column(1).to_pylist():
-            s = shingles(text, width)
+        for text in b.column(0):
+            s = shingles(text.as_py(), width)
             if len(s) <= x:
                 continue
             fp = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
             if fp in seen:
                 continue
-            if len(seen) >= 500_000:
+            if len(seen) >= 200_000:
                 seen.clear()
             seen.add(fp)
             c = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -236,30 +248,49 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The sets of wanted texts, a few at a time: a long text has a large one."""
     for b in batches:
-        sets = [shingles(t, width) for t in b.column(1).to_pylist()]
-        yield batch(["fp", "own", "s"], [b.column(0), [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], [s.view(np.int64) for s in sets]], [pa.int64(), pa.int64(), pa.list_(pa.int64())])
+        held, size = [], 0
+        for k, text in enumerate(b.column(1)):
+            held.append(shingles(text.as_py(), width).view(np.int64))
+            size += len(held[-1])
+            if size > 4 * MOST_ROWS or k == b.num_rows - 1:
+                yield batch(["fp", "s"], [b.column(0).slice(k + 1 - len(held), len(held)), held], [pa.int64(), pa.list_(pa.int64())])
+                held, size = [], 0
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The linked ones of pairs (u, v) of classes, by the exact intersection of their shingles."""
-    pairs = stage(pairs)
+    """The linked ones of pairs (u, v) of classes, by the exact intersection of their shingles.
+
+    Pairs whose parity bits differ too much are left out before a text is fetched. Of each class one text is read,
+    that with its smallest row key; rows that repeat it are told from it by nothing and go.
+    """
+    bits = classes.select("fp", "n", *_BITS)
+    with_bits = pairs.join(bits.select(F.col("fp").alias("u"), "n", *_BITS), "u").join(bits.select(F.col("fp").alias("v"), F.col("n").alias("n2"), *(F.col(c).alias(f"{c}2") for c in _BITS)), "v")
+    pairs = stage(with_bits.filter(_near_bits()).select("u", "v"))
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    wanted = stage(classes.join(wanted, "fp", "left_semi").select("fp", F.col("first").alias("doc_id")))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "doc_id").select("fp", "text")
-    sets = stage(map_arrow(texts, partial(_arrays, width=width), "fp long, own long, s array<long>").filter("fp = own").drop("own"))
+    wanted = stage(classes.join(wanted, "fp", "left_semi").select("fp", "row_key"))
+    n = wanted.count()
+    texts = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "row_key").select("fp", "text")
+    sets = stage(map_arrow(texts, partial(_arrays, width=width), "fp long, s array<long>"))
+    if sets.count() > n:
+        sets = stage(sets.dropDuplicates(["fp"]))
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return stage(both.filter((NUM + DEN) * common >= NUM * (F.size("a") + F.size("b"))).select("u", "v"))
 
 
+def _near_bits():
+    """Whether the parity bits of sets of n and n2 shingles allow a link: linked sets differ in (n + n2) / 9 of them at most."""
+    apart = " + ".join(f"bit_count({c} ^ {c}2)" for c in _BITS)
+    return F.expr(f"{NUM + DEN} * ({apart}) <= {DEN - NUM} * (n + n2)")
+
+
 def heavy_links(docs: DataFrame, classes: DataFrame, x: int, counts: bytes, width: int, links: DataFrame) -> DataFrame:
     """Edges enough to connect all linked classes of more than x shingles; `links` are edges known before."""
-    rows = map_arrow(docs, partial(_postings, width=width, x=x, counts=counts), "token long, salt int, fp long, n int, u int")
+    rows = map_arrow(docs.select("text"), partial(_postings, width=width, x=x, counts=counts), "token long, salt int, fp long, n int, u int")
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "u", "fp")
     lists = stage(map_arrow(rows, _scan, "token long, fp long, n int, u int, rep long, rep_n int, rep_u int"))
     first = lists.filter(_possible("n", "u", "rep_n", "rep_u"))
@@ -267,14 +298,12 @@ def heavy_links(docs: DataFrame, classes: DataFrame, x: int, counts: bytes, widt
     # what is left of a list has been compared with its first member
     rest = stage(lists.filter("fp <> rep").select("token", "fp", "n", "u").unionByName(_sub_firsts(lists)).distinct())
     labels = stage(connected_components(links))
-    bits = [f"b{k}" for k in range(BIT_WORDS)]
-    apart = " + ".join(f"bit_count({c} ^ {c}2)" for c in bits)
-    # linked sets of n and m shingles differ in (n + m) / 9 of them at most
-    near = _possible("n", "u", "n2", "u2") & F.expr(f"{NUM + DEN} * ({apart}) <= {DEN - NUM} * (n + n2)")
+    bits = _BITS
+    near = _possible("n", "u", "n2", "u2") & _near_bits()
     while True:
         own = rest.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
         own = _mixed(_mixed(stage(own)))
-        own = own.join(classes.select("fp", *(F.col("bits")[k].alias(f"b{k}") for k in range(BIT_WORDS))), "fp")
+        own = own.join(classes.select("fp", *bits), "fp")
         if own.isEmpty():
             return links
         short, long = own.filter(F.col("members") <= SMALL_LIST), own.filter(F.col("members") > SMALL_LIST)
@@ -308,19 +337,28 @@ def _sub_firsts(lists: DataFrame) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    both = stage(map_arrow(docs, partial(_sets, width=width), "doc_id long, n long, fp long, small array<long>, bits array<long>, part int, level long, counts binary"))
-    sets = both.filter("part is null").select("doc_id", "n", "fp", "small", "bits")
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), row_key and is_first of each document.
+
+    row_key is a hash of doc_id and text; is_first tells the row that stands for its component: the one with the
+    smallest (doc_id, row_key), null ids last. Equal rows are first together.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text_bytes().alias("text"))
+    both = stage(map_arrow(docs, partial(_sets, width=width), _SETS))
+    sets = both.filter("part is null").drop("part", "level", "counts")
     # 4 MiB, however many documents there are
     counts = np.minimum(add_up(both.filter("part is not null").select("part", "level", "counts"), SKETCH_PARTS), 2**31 - 1).astype("<i4").tobytes()
-    classes = stage(sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("bits").alias("bits")))
+    classes = stage(sets.filter("n > 0").groupBy("fp").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("first"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in _BITS)))
     x = boundary({r[0]: r[1] for r in classes.filter(F.col("n") <= KEPT).groupBy("n").count().collect()})
-    links = light_links(classes, x)
+    links = light_links(sets, x)
     if counts:
         links = heavy_links(docs, classes, x, counts, width, stage(links))
     labels = stage(connected_components(links))
-    own = stage(classes.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")).drop("small"))
+    own = stage(classes.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     names = stage(own.groupBy("component").agg(F.min("first").alias("component_id")))
-    named = stage(own.join(names, "component").select("fp", "component_id"))
-    return sets.join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = stage(own.join(names, "component").select("fp", "component", "component_id"))
+    rows = sets.select("doc_id", "row_key", "n", "fp").join(named, "fp", "left")
+    # of the rows with a component's smallest doc_id (of all its rows, where none has one) the smallest key stands for it
+    leads = rows.filter("n > 0 and doc_id <=> component_id").groupBy("component").agg(F.min("row_key").alias("lead"))
+    rows = stage(rows).join(stage(leads), "component", "left")
+    has = F.col("n") > 0
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", (~has | ((F.col("row_key") == F.col("lead")) & F.col("doc_id").eqNullSafe(F.col("component_id")))).alias("is_first"))
