@@ -11,6 +11,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows (of a few numbers each) that a file of a staged table holds at least, if its size is known beforehand.
+FILE_ROWS = 20_000
+
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -44,9 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, and a lost executor loses nothing of it."""
+def stage(df: DataFrame, partition_by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage is cut, and a lost executor loses nothing of it.
+
+    rows: how many rows it has at most, where that is known. A small table is then written in few files, instead of
+    one for each shuffle partition; the number of files follows the rows, and large tables keep all partitions.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        files = max(parallelism(spark), -(-rows // FILE_ROWS))
+        if files < shuffle_partitions(spark):
+            df = df.coalesce(files)
     path = f"{shared_dir(spark)}/hexloom-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
