@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.llm.arrow import batch, map_arrow, row_key, text_bytes
-from hexloom.llm.bytewords import WHITE_SPACE, separators, word_hashes
+from hexloom.llm.bytewords import WHITE_SPACE, distinct, separators, word_hashes
 from hexloom.llm.components import connected_components
 from hexloom.llm.counters import add_up, parts_of
 from hexloom.session import shuffle_partitions, stage
@@ -75,7 +75,7 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     s ^= s >> np.uint64(32)
     s *= _MIX[3]
     s ^= s >> np.uint64(29)
-    return np.unique(s)
+    return distinct(s)
 
 
 def needed_overlap(a: int, b: int) -> int:
@@ -161,7 +161,7 @@ def light_links(sets: DataFrame, x: int) -> DataFrame:
     sets = sets.filter(F.col("n").between(1, x * DEN // NUM)).select("fp", "small").distinct()
     found = stage(map_arrow(sets, partial(_subsets, x=x), "key long, fp long, role int"))
     least = found.groupBy("key").agg(F.min(F.when(F.col("role") <= 0, F.col("fp"))).alias("lower"), F.min(F.when(F.col("role") >= 0, F.col("fp"))).alias("upper"), F.max("fp").alias("other"))
-    least = stage(least.filter("lower is not null and upper is not null and (lower <> upper or other <> lower)").drop("other"))
+    least = stage(least.filter("lower is not null and upper is not null and (lower <> upper or other <> lower)").drop("other"), rows=found.count())
     return found.join(least, "key").select(F.col("fp").alias("u"), F.when(F.col("role") < 0, F.col("upper")).otherwise(F.col("lower")).alias("v")).filter("u <> v").distinct()
 
 
@@ -259,19 +259,21 @@ def _arrays(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 held, size = [], 0
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, rows: int) -> DataFrame:
     """The linked ones of pairs (u, v) of classes, by the exact intersection of their shingles.
 
     Pairs whose parity bits differ too much are left out before a text is fetched. Of each class one text is read,
-    that with its smallest row key; rows that repeat it are told from it by nothing and go.
+    that with its smallest row key; rows that repeat it are told from it by nothing and go. rows: how many pairs
+    there are at most.
     """
     bits = classes.select("fp", "n", *_BITS)
     with_bits = pairs.join(bits.select(F.col("fp").alias("u"), "n", *_BITS), "u").join(bits.select(F.col("fp").alias("v"), F.col("n").alias("n2"), *(F.col(c).alias(f"{c}2") for c in _BITS)), "v")
-    pairs = stage(with_bits.filter(_near_bits()).select("u", "v"))
-    if pairs.isEmpty():
+    pairs = stage(with_bits.filter(_near_bits()).select("u", "v"), rows=rows)
+    rows = pairs.count()
+    if not rows:
         return pairs
     wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    wanted = stage(classes.join(wanted, "fp", "left_semi").select("fp", "row_key"))
+    wanted = stage(classes.join(wanted, "fp", "left_semi").select("fp", "row_key"), rows=2 * rows)
     n = wanted.count()
     texts = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "row_key").select("fp", "text")
     sets = stage(map_arrow(texts, partial(_arrays, width=width), "fp long, s array<long>"))
@@ -279,7 +281,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
         sets = stage(sets.dropDuplicates(["fp"]))
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return stage(both.filter((NUM + DEN) * common >= NUM * (F.size("a") + F.size("b"))).select("u", "v"))
+    return stage(both.filter((NUM + DEN) * common >= NUM * (F.size("a") + F.size("b"))).select("u", "v"), rows=rows)
 
 
 def _near_bits():
@@ -293,40 +295,45 @@ def heavy_links(docs: DataFrame, classes: DataFrame, x: int, counts: bytes, widt
     rows = map_arrow(docs.select("text"), partial(_postings, width=width, x=x, counts=counts), "token long, salt int, fp long, n int, u int")
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "u", "fp")
     lists = stage(map_arrow(rows, _scan, "token long, fp long, n int, u int, rep long, rep_n int, rep_u int"))
+    size = lists.count()
     first = lists.filter(_possible("n", "u", "rep_n", "rep_u"))
-    links = links.unionByName(verified(_pairs(first, "fp", "rep"), classes, docs, width))
+    links = links.unionByName(verified(_pairs(first, "fp", "rep"), classes, docs, width, size))
     # what is left of a list has been compared with its first member
-    rest = stage(lists.filter("fp <> rep").select("token", "fp", "n", "u").unionByName(_sub_firsts(lists)).distinct())
-    labels = stage(connected_components(links))
-    bits = _BITS
+    rest = stage(lists.filter("fp <> rep").select("token", "fp", "n", "u").unionByName(_sub_firsts(lists)).distinct(), rows=size)
+    known = links.count()
+    labels = stage(connected_components(links, known), rows=2 * known)
     near = _possible("n", "u", "n2", "u2") & _near_bits()
     while True:
         own = rest.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-        own = _mixed(_mixed(stage(own)))
-        own = own.join(classes.select("fp", *bits), "fp")
-        if own.isEmpty():
+        own = _mixed(_mixed(stage(own, rows=size), size), size)
+        size = own.count()
+        if not size:
             return links
+        own = own.join(classes.select("fp", *_BITS), "fp")
         short, long = own.filter(F.col("members") <= SMALL_LIST), own.filter(F.col("members") > SMALL_LIST)
-        other = short.select("token", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "u", "component", *bits)))
-        found = _pairs(short.join(other, "token").filter("component < component2").filter(near), "fp", "fp2")
-        lead = long.groupBy("token", F.pmod(F.xxhash64("fp"), F.lit(FIRST_MEMBERS)).alias("k")).agg(F.min(F.struct("u", "fp", "n", "component", *bits)).alias("f"))
-        lead = stage(lead.select("token", F.col("f.fp").alias("fp2"), F.col("f.n").alias("n2"), F.col("f.u").alias("u2"), F.col("f.component").alias("component2"), *(F.col(f"f.{c}").alias(f"{c}2") for c in bits)))
-        if not lead.isEmpty():
-            found = found.unionByName(_pairs(long.join(lead, "token").filter("component <> component2").filter(near), "fp", "fp2")).distinct()
-            rest = stage(long.join(lead.select("token", F.col("fp2").alias("fp")), ["token", "fp"], "left_anti").select("token", "fp", "n", "u"))
-        new = verified(found, classes, docs, width)
-        if not new.isEmpty():
-            links = stage(links.unionByName(new))
-            labels = stage(connected_components(links))
-        if lead.isEmpty():
+        other = short.select("token", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "u", "component", *_BITS)))
+        found = stage(_pairs(short.join(other, "token").filter("component < component2").filter(near), "fp", "fp2"), rows=size)
+        lead = long.groupBy("token", F.pmod(F.xxhash64("fp"), F.lit(FIRST_MEMBERS)).alias("k")).agg(F.min(F.struct("u", "fp", "n", "component", *_BITS)).alias("f"))
+        lead = stage(lead.select("token", F.col("f.fp").alias("fp2"), F.col("f.n").alias("n2"), F.col("f.u").alias("u2"), F.col("f.component").alias("component2"), *(F.col(f"f.{c}").alias(f"{c}2") for c in _BITS)), rows=size)
+        more = not lead.isEmpty()
+        if more:
+            found = stage(found.unionByName(_pairs(long.join(lead, "token").filter("component <> component2").filter(near), "fp", "fp2")).distinct(), rows=size)
+            rest = stage(long.join(lead.select("token", F.col("fp2").alias("fp")), ["token", "fp"], "left_anti").select("token", "fp", "n", "u"), rows=size)
+        new = verified(found, classes, docs, width, found.count())
+        added = new.count()
+        if added:
+            known += added
+            links = stage(links.unionByName(new), rows=known)
+            labels = stage(connected_components(links, known), rows=2 * known)
+        if not more:
             return links
 
 
-def _mixed(own: DataFrame) -> DataFrame:
+def _mixed(own: DataFrame, rows: int) -> DataFrame:
     """The members of lists that span components, without those that not even the list's least place lets in."""
     lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("u").alias("least")).filter("a <> b")
-    lists = stage(lists.select("token", "members", "least"))
-    return stage(own.drop("members").join(lists, "token").filter(F.expr(f"{DEN} * (n - u) >= {NUM} * (n + least)")).drop("least"))
+    lists = stage(lists.select("token", "members", "least"), rows=rows)
+    return stage(own.drop("members").join(lists, "token").filter(F.expr(f"{DEN} * (n - u) >= {NUM} * (n + least)")).drop("least"), rows=rows)
 
 
 def _sub_firsts(lists: DataFrame) -> DataFrame:
@@ -347,18 +354,21 @@ def similarity_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sets = both.filter("part is null").drop("part", "level", "counts")
     # 4 MiB, however many documents there are
     counts = np.minimum(add_up(both.filter("part is not null").select("part", "level", "counts"), SKETCH_PARTS), 2**31 - 1).astype("<i4").tobytes()
-    classes = stage(sets.filter("n > 0").groupBy("fp").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("first"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in _BITS)))
+    size = sets.count()
+    classes = stage(sets.filter("n > 0").groupBy("fp").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("first"), F.max("n").alias("n"), *(F.max(c).alias(c) for c in _BITS)), rows=size)
     x = boundary({r[0]: r[1] for r in classes.filter(F.col("n") <= KEPT).groupBy("n").count().collect()})
     links = light_links(sets, x)
     if counts:
         links = heavy_links(docs, classes, x, counts, width, stage(links))
-    labels = stage(connected_components(links))
-    own = stage(classes.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    names = stage(own.groupBy("component").agg(F.min("first").alias("component_id")))
-    named = stage(own.join(names, "component").select("fp", "component", "component_id"))
+    links = stage(links)
+    known = links.count()
+    labels = stage(connected_components(links, known), rows=2 * known)
+    own = stage(classes.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), rows=size)
+    names = stage(own.groupBy("component").agg(F.min("first").alias("component_id")), rows=size)
+    named = stage(own.join(names, "component").select("fp", "component", "component_id"), rows=size)
     rows = sets.select("doc_id", "row_key", "n", "fp").join(named, "fp", "left")
     # of the rows with a component's smallest doc_id (of all its rows, where none has one) the smallest key stands for it
     leads = rows.filter("n > 0 and doc_id <=> component_id").groupBy("component").agg(F.min("row_key").alias("lead"))
-    rows = stage(rows).join(stage(leads), "component", "left")
+    rows = stage(rows, rows=size).join(stage(leads, rows=size), "component", "left")
     has = F.col("n") > 0
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", (~has | ((F.col("row_key") == F.col("lead")) & F.col("doc_id").eqNullSafe(F.col("component_id")))).alias("is_first"))
