@@ -7,6 +7,8 @@ memory beyond the hashes themselves is bounded, however long a text is; a longer
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
@@ -41,11 +43,9 @@ class _Powers:
 _powers = _Powers()
 
 
-def word_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
-    """The hashes of the words of a text, in order."""
-    if len(text) <= BLOCK_BYTES:
-        return _block_hashes(np.frombuffer(text, np.uint8), table)
-    a, at, out = np.frombuffer(text, np.uint8), 0, []
+def blocks_of(text: bytes, table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The bytes of a text in blocks that end between words, each with its place."""
+    a, at = np.frombuffer(text, np.uint8), 0
     while at < len(a):
         end = min(len(a), at + BLOCK_BYTES)
         while end < len(a):  # on to the end of a word
@@ -54,27 +54,63 @@ def word_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
                 end += int(stops[0])
                 break
             end = min(len(a), end + BLOCK_BYTES)
-        out.append(_block_hashes(a[at:end], table))
+        yield at, a[at:end]
         at = end
-    return np.concatenate(out)
-
-
-def _block_hashes(a: np.ndarray, table: np.ndarray) -> np.ndarray:
-    n = len(a)
-    if not n:
-        return np.zeros(0, np.uint64)
-    _powers.upto(n)
-    inside = np.empty(n + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~table[a]
-    edge = np.flatnonzero(np.diff(inside))
-    starts, ends = edge[::2], edge[1::2]
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((a + np.uint64(1)) * _powers.up[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers.down[starts]
-    h += (ends - starts).astype(np.uint64) * _LENGTH
-    h ^= h >> _S1
-    h *= _MIX
-    h ^= h >> _S2
-    return h
+
+
+def word_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
+    """The hashes of the words of a text, in order."""
+    out = [_Block(a, table).words()[1] for _, a in blocks_of(text, table)]
+    return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint64), *out])
+
+
+def part_hashes(text: bytes, table: np.ndarray, firsts: tuple[int, ...], lasts: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes) of the words of a text; of the first n bytes of those that are longer, for each n of firsts;
+    and of the last n bytes of those that are longer, for each n of lasts."""
+    out: list[list] = [[] for _ in range(1 + len(firsts) + len(lasts))]
+    for at, a in blocks_of(text, table):
+        b = _Block(a, table)
+        for have, (starts, hashes) in zip(out, (b.words(), *map(b.first, firsts), *map(b.last, lasts))):
+            have.append((starts + at, hashes))
+    return [(np.concatenate([np.zeros(0, np.int64), *(s for s, _ in x)]), np.concatenate([np.zeros(0, np.uint64), *(h for _, h in x)])) for x in out]
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The sorted distinct numbers of an array; by sorting, which is several times as fast here as a hash table."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
+class _Block:
+    """Words of a block, with running sums that give the hash of any of their parts."""
+
+    def __init__(self, a: np.ndarray, table: np.ndarray):
+        n = len(a)
+        _powers.upto(n)
+        inside = np.empty(n + 2, np.int8)
+        inside[0] = inside[-1] = 0
+        inside[1:-1] = ~table[a]
+        edge = np.flatnonzero(np.diff(inside))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.sums = np.empty(n + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum((a + np.uint64(1)) * _powers.up[:n], out=self.sums[1:])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.hashes(self.starts, self.ends)
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        s = self.starts[self.ends - self.starts > n]
+        return self.hashes(s, s + n)
+
+    def last(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        e = self.ends[self.ends - self.starts > n]
+        return self.hashes(e - n, e)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = (self.sums[ends] - self.sums[starts]) * _powers.down[starts]
+        h += (ends - starts).astype(np.uint64) * _LENGTH
+        h ^= h >> _S1
+        h *= _MIX
+        h ^= h >> _S2
+        return starts, h
