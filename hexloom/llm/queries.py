@@ -70,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP6_SQL = """
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-gone AS (SELECT line FROM lines WHERE length(line) >= 20 AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 5),
+gone AS (SELECT line FROM lines WHERE length(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) >= 1 AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 5),
 marked AS (SELECT doc_id, pos, line, line IN (SELECT line FROM gone) AS dead FROM lines),
 texts AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dead) AS n_removed,
