@@ -8,6 +8,11 @@ kind is the score that its distinct instances have for that kind, over their num
 the noisy-or of the confident patterns around it. Unknown instances that reach the threshold become spans of that
 kind, without punctuation at their ends, wherever they occur, unless they overlap a base span.
 
+A second graph, of the same scores, holds assignments (`password=...`, `token: "..."`): the name with its sign is the
+pattern, the value the instance. Values that look drawn at random (SECRET) and access keys of the public form
+(ACCESS_KEY) are the seeds of the kind `secret`. Patterns that such values fill are sure of it, and then every value
+that stands in their slot is a secret, whatever it looks like. Access keys are secrets wherever they stand.
+
 The texts with base entities give the patterns first. A second scan looks for the fillers of their slots, and a third
 one for the tokens found; both look them up in broadcast blocks of bounded size, and edges are counted before they
 are shuffled. The slots of patterns with enough base entities are filled first: where none of them is sure, no token
@@ -17,6 +22,8 @@ are 64-bit hashes in the graph.
 Positions are code points: the pieces between matches and the matches themselves are summed up, once per text.
 Patterns use possessive quantifiers and start only where a run starts, so that a long run is scanned once.
 
+Spans are base spans, then contextual ones that overlap none, then secrets that overlap neither.
+
 Defined results: a null text is an empty text; repeated rows give repeated results (and count as one instance); an
 empty table gives no rows; extra columns are ignored, whatever their names.
 """
@@ -30,12 +37,19 @@ from hexloom.session import stage
 
 #: The kinds in the order listed, and the patterns (with starts and quantifiers that never rescan).
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+#: A name, a sign, and a value of up to 256 characters that white space, a quote, a comma or a bracket ends.
+ASSIGNED = r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]*+ ?[=:] ?[\x22']?[^\s\x22',;()<>{}]++"
+_VALUE = r"[^\s\x22',;()<>{}=:]++$"
+#: Values that look drawn at random: 16 or more letters, digits and signs of usual encodings, digits and letters mixed.
+SECRET = r"^(?=(?:[^0-9]*[0-9]){4})(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_-]{16,}$"
 _SPACE = r"[\x20\x09-\x0D]"
 #: In marked texts a base entity stands between the mark of its kind and the end mark; blanks within it are glued.
 _MARKS, _END, _GLUE = "\x01\x02\x03\x04", "\x05", "\x07"
@@ -47,7 +61,7 @@ CONFIDENT, SUPPORT, SMOOTH = 0.8, 4.0, 1.0
 THRESHOLD = 0.8
 #: Patterns or instances that are broadcast at once; words of a text whose lengths are added up at once.
 BLOCK = 1_000_000
-CHUNK = 1024
+CHUNK = 256
 
 
 def _sql(s: str) -> str:
@@ -71,14 +85,21 @@ def valid(kind: str, x: str) -> str:
     return f"if({_digits(x)} between 12 and 19, transform(array(regexp_replace({x}, '[^0-9]', '')), d -> {luhn})[0], false)"
 
 
+def _running_sums(a: str) -> str:
+    """SQL: the sums of all beginnings of an array of ints, in chunks, so that no long array is copied for each item."""
+    chunks = f"transform(sequence(0, (size(a) - 1) div {CHUNK}), c -> slice(a, c * {CHUNK} + 1, {CHUNK}))"
+    fold = "aggregate(x, array({}), (f, y) -> array_append(f, element_at(f, -1) + y))"
+    begins = "aggregate(k, array(0), (f, x) -> array_append(f, element_at(f, -1) + aggregate(x, 0, (g, y) -> g + y)))"
+    sums = f"flatten(transform(k, (x, c) -> slice({fold.format('b[c]')}, 2, size(x))))"
+    return f"transform(array({a}), a -> transform(array({chunks}), k -> transform(array({begins}), b -> {sums})[0])[0])[0]"
+
+
 def _spans(text: str, pattern: str) -> str:
     """SQL: the matches of a pattern in a text, as (s, e, t)."""
-    start = "named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int>>))"
-    step = "named_struct('at', a.at + length(p[i]) + length(m[i]), 'out', array_append(a.out, named_struct('s', a.at + length(p[i]), 'e', a.at + length(p[i]) + length(m[i]))))"
-    fold = f"aggregate(sequence(0, size(m) - 1), {start}, (a, i) -> {step}, a -> a.out)"
-    zipped = f"transform(array({fold}), q -> transform(sequence(0, size(m) - 1), i -> named_struct('s', q[i].s, 'e', q[i].e, 't', m[i])))[0]"
-    pieces = f"transform(array(split({text}, {pattern}, -1)), p -> {zipped})[0]"
-    return f"transform(array(regexp_extract_all({text}, {pattern}, 0)), m -> if(size(m) = 0, cast(array() as array<struct<s:int,e:int,t:string>>), {pieces}))[0]"
+    steps = "transform(m, (x, i) -> length(p[i]) + length(x))"
+    pieces = f"transform(array(split({text}, {pattern}, -1)), p -> {_running_sums(steps)})[0]"
+    zipped = f"transform(array({pieces}), q -> transform(m, (x, i) -> named_struct('s', q[i] - length(x), 'e', q[i], 't', x)))[0]"
+    return f"transform(array(regexp_extract_all({text}, {pattern}, 0)), m -> if(size(m) = 0, cast(array() as array<struct<s:int,e:int,t:string>>), {zipped}))[0]"
 
 
 def base_spans(kind: str) -> Column:
@@ -89,9 +110,14 @@ def base_spans(kind: str) -> Column:
     return F.expr(f"if({hint}, filter({found}, x -> {valid(kind, 'x.t')}), {none})")
 
 
+def _spans_if(hint: str, pattern: str) -> Column:
+    none = "cast(array() as array<struct<s:int,e:int,t:string>>)"
+    return F.expr(f"if({hint}, {_spans('text', _sql(pattern))}, {none})")
+
+
 def _listed(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed; spans: array of (s, k, e)."""
-    name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
+    name = lambda k: F.element_at(F.array(*map(F.lit, ALL_KINDS)), k + 1)
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", name(x["k"]), x["s"], x["e"])), ",")
 
 
@@ -110,7 +136,13 @@ def extract(docs: DataFrame) -> DataFrame:
     """A row per document, staged: doc_id, row, base spans of each kind, and the text with marked base entities."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = F.translate("text", _MARKS + _END + _GLUE, "\x06" * 6)
-    df = df.select("doc_id", F.monotonically_increasing_id().alias("row"), *(base_spans(k).alias(k) for k in KINDS), own.alias("marked"))
+    keys = _spans_if("contains(text, 'AKIA')", ACCESS_KEY).alias("access_keys")
+    # of an assignment: its place, its name with the sign, and its value
+    value = f"regexp_extract(x.t, {_sql(_VALUE)}, 0)"
+    parted = f"named_struct('s', x.e - length(v), 'e', x.e, 'name', lower(regexp_replace(left(x.t, length(x.t) - length(v)), '[^A-Za-z0-9_=:-]', '')), 'value', v)"
+    assigned = F.expr(f"filter(transform(assigned, x -> transform(array({value}), v -> {parted})[0]), x -> x.value <> '')").alias("assigned")
+    df = df.select("doc_id", F.monotonically_increasing_id().alias("row"), *(base_spans(k).alias(k) for k in KINDS), keys, _spans_if("contains(text, '=') or contains(text, ':')", ASSIGNED).alias("assigned"), own.alias("marked"))
+    df = df.select("doc_id", "row", *KINDS, "access_keys", assigned, "marked")
     for k in range(len(KINDS)):
         df = df.withColumn("marked", F.expr(_marked(k)))
     return stage(df)
@@ -202,17 +234,50 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return stage(best.select("instance", (-F.col("b.k")).alias("k")))
 
 
+def secret_slots(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The names that secrets are assigned to: those that the graph of names and values is sure of, staged."""
+    pairs = found.filter("size(assigned) > 0").select(F.explode("assigned").alias("x")).select("x.name", "x.value")
+    # long values are known by their hash; equal pairs of a task meet before they are shuffled
+    edges = pairs.groupBy("name", F.xxhash64("value").alias("value")).agg(F.max(F.col("value").rlike(SECRET).cast("int")).alias("seed"))
+    edges = stage(edges)
+    n = edges.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("seed").alias("seeds"))
+    sure = stage(n.filter((F.col("seeds") >= SUPPORT) & (F.col("seeds") / (F.col("n") + SMOOTH) >= CONFIDENT)).select("name"))
+    for _ in range(rounds - 1):
+        # values that sure names have are scored by them, and score the other names that they fill
+        reached = stage(edges.join(sure, "name", "left_semi").select("value").distinct())
+        scored = edges.join(reached.withColumn("found", F.lit(1)), "value", "left").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest("seed", F.coalesce("found", F.lit(0)))).alias("support"))
+        new = stage(scored.filter((F.col("support") >= SUPPORT) & (F.col("support") / (F.col("n") + SMOOTH) >= CONFIDENT)).select("name"))
+        if new.count() == sure.count():
+            break
+        sure = new
+    return sure
+
+
+def secrets(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """row and spans (s, k, e) of the values that stand in slots of secrets."""
+    sure = secret_slots(found, rounds)
+    each = found.filter("size(assigned) > 0").select("row", F.explode("assigned").alias("x")).select("row", "x.name", "x.s", "x.e")
+    return _in_blocks(each, sure, "name").select("row", "s", F.lit(KINDS.index("phone") + 1).alias("k"), "e")
+
+
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, and spans (base and contextual ones)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base, contextual ones and secrets),
+    n_secret and n_spans (all of them)."""
     found = extract(docs)
     more = bootstrap(graph(found), rounds)
     spans = F.concat(*(F.expr(f"transform({k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))") for i, k in enumerate(KINDS)))
-    out = found.select("doc_id", "row", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), spans.alias("base"))
+    keys = F.expr(f"transform(access_keys, x -> named_struct('s', x.s, 'k', {len(KINDS)}, 'e', x.e))")
+    out = found.select("doc_id", "row", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), spans.alias("base"), keys.alias("keys"))
+    gather = lambda df, name: stage(df.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("s", "k", "e"))).alias(name)))
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     if not more.isEmpty():
-        new = occurrences(found, more).groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("new"))
-        out = out.join(stage(new), "row", "left")
-        apart = F.filter("new", lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
-        every = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.concat("base", apart))
+        out = out.join(gather(occurrences(found, more), "new"), "row", "left")
     else:
-        every = F.col("base")
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"))
+        out = out.withColumn("new", none)
+    out = out.join(gather(secrets(found, rounds), "assigned"), "row", "left")
+    apart = lambda new, have: F.filter(F.coalesce(new, none), lambda x: ~F.exists(have, lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
+    out = out.withColumn("every", F.concat("base", apart(F.col("new"), F.col("base"))))
+    out = out.withColumn("every", F.concat("every", apart(F.col("keys"), F.col("every"))))
+    out = out.withColumn("every", F.concat("every", apart(F.col("assigned"), F.col("every"))))
+    n_secret = F.size(F.filter("every", lambda x: x["k"] == len(KINDS))).cast("long")
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("every")).alias("spans"), n_secret.alias("n_secret"), F.size("every").cast("long").alias("n_spans"))
