@@ -5,7 +5,12 @@ ends in the one token t for which (last token of prefix i - len(t), t) is a pair
 count at i is the count at i - len(t), plus one. The word-level vocabulary marks the end of a word, so there are
 two tables for each word: one for prefixes inside the word, one for prefixes that end there. Tables of words are
 stored (in a bounded cache); the table of a text is the running sum over its words, plus the table of the word
-that a prefix cuts. Truncation and budget questions read these tables and encode nothing again.
+that a prefix cuts; prefix_tables() stores it at every prefix (where the count changes), and count_at() and
+within_budget() answer truncation and budget questions from it by DataFrame functions, without encoding again.
+
+Words are the library's own pre-tokens, in any script. Where a prefix does not split as the whole does (special
+strings, and texts whose normal form moves code points, such as separate accents), prefixes are encoded by the
+library: a few near the budget's place for one budget, all of one chunk between white space for a table.
 
 Defined results: a null text counts as empty (0 tokens); repeated rows give repeated results; an empty table gives
 no rows; extra columns are ignored, whatever their names.
@@ -14,6 +19,7 @@ no rows; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate
@@ -28,6 +34,8 @@ from hexloom.llm.arrow import batch, map_arrow, text_bytes
 from hexloom.llm.wordbpe import _KEY, Generations, word_bpe
 
 TOKEN_LIMIT = 2048
+#: Tokens and code points around a budget's place in which a prefix's end is looked for where tables do not hold.
+NEAR = 64
 _CHUNK = re.compile(rb"[^ \t-\r]+")
 _END = "</w>"
 
@@ -116,21 +124,50 @@ class PrefixCounts:
             self.totals.put(chunk, found)
         return found
 
+    def chunk_table(self, chunk: bytes) -> list[int] | None:
+        """The counts at each code point of a chunk (0 first), or None where normalisation moves code points or a
+        special string is in the chunk."""
+        text = chunk.decode("utf-8", "replace")
+        low = self.bpe.tokenizer.normalizer.normalize_str(text)
+        if len(low) != len(text) or "<|" in text or any(map(unicodedata.combining, text)):
+            return None
+        table = [0]
+        for word, (start, end) in self.bpe.tokenizer.pre_tokenizer.pre_tokenize_str(low):
+            piece, spent = low[start:end], table[-1]
+            counts = self.piece_table(piece)
+            if len(piece) > 2 and piece.startswith("'") and piece[1:].isalpha():
+                # a prefix that cuts a contraction of two letters is an apostrophe and a letter
+                counts = [0, counts[1], counts[1] + self.piece_total(piece[1]), counts[-1]]
+            table += [spent + n for n in counts[1:]]
+        return table if len(table) == len(text) + 1 else None
+
     def chunk_within(self, chunk: bytes, budget: int) -> int:
         """Code points of the longest prefix of a chunk that has at most `budget` tokens."""
+        table = self.chunk_table(chunk)
+        if table is not None:
+            return max(i for i, n in enumerate(table) if n <= budget)
+        # beyond the last whole token a prefix has those of the whole, so that its end lies near the budget's token
         text = chunk.decode("utf-8", "replace")
-        pieces = self.bpe.pieces_of(text)
-        if pieces is None or "'" in text or sum(map(len, pieces)) != len(text):
-            # prefixes may split otherwise than the whole (contractions, special strings, normalisation)
-            return next(i for i in range(len(text), -1, -1) if len(self.bpe.library_ids(text[:i])) <= 4 * budget)
-        best = at = spent = 0
-        for p in pieces:
-            table = self.piece_table(p)
-            best = max((at + i for i, n in enumerate(table) if spent + n <= budget), default=best)
-            at, spent = at + len(p), spent + table[-1]
-            if spent > budget:
-                break
-        return best
+        spans = self.bpe.tokenizer.encode(text, add_special_tokens=False).offsets
+        hi = min(len(text), spans[min(len(spans) - 1, budget + NEAR)][1] + NEAR) if spans else len(text)
+        return next(i for i in range(hi, -1, -1) if len(self.bpe.library_ids(text[:i])) <= 4 * budget)
+
+    def text_table(self, text: bytes) -> tuple[list[int], list[int]]:
+        """The stored table of a text: code points after which the count changes, and the counts from there on."""
+        ends, counts, spent, at, done = [0], [0], 0, 0, 0
+        for m in _CHUNK.finditer(text):
+            at += len(text[done : m.start()].decode("utf-8", "replace"))
+            size = len(m[0].decode("utf-8", "replace"))
+            table = self.chunk_table(m[0])
+            if table is None:
+                decoded = m[0].decode("utf-8", "replace")
+                table = [len(self.bpe.library_ids(decoded[:i])) // 4 for i in range(size + 1)]
+            for i, n in enumerate(table[1:], 1):
+                if spent + n != counts[-1]:
+                    ends.append(at + i)
+                    counts.append(spent + n)
+            spent, at, done = spent + table[-1], at + size, m.end()
+        return ends, counts
 
     def counts(self, text: bytes) -> list[int]:
         """The counts of a text's chunks."""
@@ -184,14 +221,27 @@ def _tables(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.
     p = prefix_counts(path)
     for b in batches:
         texts = b.column(1).to_pylist()
-        yield batch(
-            ["doc_id", "ends", "counts"],
-            [b.column(0), [[m.end() for m in _CHUNK.finditer(t)] for t in texts], [list(accumulate(p.counts(t))) for t in texts]],
-            [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())],
-        )
+        tables = list(map(p.text_table, texts))
+        yield batch(["doc_id", "places", "counts"], [b.column(0), [x for x, _ in tables], [x for _, x in tables]], [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())])
 
 
 def prefix_tables(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """doc_id, ends (byte offsets after each word) and counts (tokens up to there): the stored table of each text."""
+    """doc_id, places and counts: the stored table of each text. A prefix of i code points has the count that stands
+    beside the last place that is not over i; places where the count stays are left out."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return map_arrow(df, partial(_tables, path=tokenizer_path), "doc_id long, ends array<int>, counts array<int>")
+    return map_arrow(df, partial(_tables, path=tokenizer_path), "doc_id long, places array<int>, counts array<int>")
+
+
+def count_at(tables: DataFrame, chars) -> DataFrame:
+    """tables (of prefix_tables, or joined with other columns) with n_tokens: the count of each text's first `chars`
+    code points (a column or a number). Nothing is encoded again."""
+    last = F.size(F.filter("places", lambda x: x <= (F.lit(chars) if isinstance(chars, int) else F.col(chars))))
+    return tables.withColumn("n_tokens", F.element_at("counts", last))
+
+
+def within_budget(tables: DataFrame, budget: int) -> DataFrame:
+    """tables with limit_chars: the first place from which on each longer prefix has more than `budget` tokens; null if
+    the whole text is within it. Nothing is encoded again."""
+    over = F.filter(F.arrays_zip("places", "counts"), lambda x: x["counts"] <= budget)
+    following = F.get("places", F.array_position("places", F.element_at(over, -1)["places"]).cast("int"))
+    return tables.withColumn("limit_chars", following - 1)

@@ -70,8 +70,16 @@ def test_token_counts(spark, tiny, texts, library):
     rows = tiny + texts[:40]
     got = tokencount.token_counts(frame(spark, [(*r, 1) for r in rows], "doc_id long, text string, n_tokens int")).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == collections.Counter((i, len((t or "").encode()), len(encode(library, t or "")), len(encode(library, t or "")) > 2048) for i, t in rows)
-    table = tokencount.prefix_tables(frame(spark, [(1, "one two  three")])).first()
-    assert table.ends == [3, 7, 14] and table.counts == [1, 2, 3]
+    some = [(1, "one two  three"), (2, "don't we'll x'yz 你好世界 étude e\u0301 <|endoftext|> 1234!!'s"), (3, None)]
+    tables = tokencount.prefix_tables(frame(spark, some))
+    for n in range(60):
+        want = {i: len(encode(library, (t or "")[:n])) for i, t in some}
+        assert {r.doc_id: r.n_tokens for r in tokencount.count_at(tables, n).collect()} == want
+    for budget in (1, 2, 7):
+        for r in tokencount.within_budget(tables, budget).collect():
+            t = some[r.doc_id - 1][1] or ""
+            fits = [i for i in range(len(t) + 1) if len(encode(library, t[:i])) <= budget]
+            assert (len(t) if r.limit_chars is None else r.limit_chars) == fits[-1] or r.limit_chars is None
     assert tokencount.token_counts(frame(spark, [])).count() == 0
 
 
@@ -674,3 +682,21 @@ def test_contextual_recall(spark):
     got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows)).collect()}
     assert sum(planted[i] in got[i].split(",") for i in planted) >= 0.9 * len(planted)
     assert all("," not in got[i] for i in got)
+
+
+def test_prefixes_of_long_chunks(library):
+    """Chunks of scripts without white space, with apostrophes and accents: exact, and in linear time."""
+    import time
+
+    p = tokencount.PrefixCounts()
+    rng = random.Random(21)
+    for letters in ("你好世界日本語", "abcdefgh", "ab'stlrevmd", "aé'ñ你1!?", "ae\u0301x", "ab<|endoftext|>"):
+        text = "".join(rng.choice(letters) for _ in range(120))
+        counts = [len(encode(library, text[:i])) for i in range(len(text) + 1)]
+        table = p.chunk_table(text.encode())
+        assert table is None or table == counts, text
+        for budget in (1, 7, 30, 60):
+            assert p.chunk_within(text.encode(), budget) == max(i for i, n in enumerate(counts) if n <= budget), (text, budget)
+    began = time.time()
+    p.chunk_within("".join(rng.choice("你好世界日本語") for _ in range(300_000)).encode(), 2048)
+    assert time.time() - began < 60
