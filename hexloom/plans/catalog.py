@@ -104,9 +104,9 @@ def q7_three_table_join(t):
     return j.groupBy(F.col("c_mktsegment").alias("kind"), F.col("l_returnflag").alias("edge_kind")).agg(F.sum("k").alias("n"), F.countDistinct("c_custkey").alias("components"))
 
 
-@over("SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate < DATE '1995-01-01' AND l_returnflag = 'N')")
+@over("SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate < DATE '1996-01-01' AND l_returnflag = 'N')")
 def q8_dependents_of(t):
-    l = t.lineitem.filter((F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("l_returnflag") == "N")).select(F.col("l_orderkey").alias("o_orderkey"))
+    l = t.lineitem.filter((F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("l_returnflag") == "N")).select(F.col("l_orderkey").alias("o_orderkey"))
     return t.orders.select("o_orderkey", "o_custkey").join(l, "o_orderkey", "left_semi")
 
 
@@ -168,9 +168,9 @@ def fn_trim(t):
     return t.part.select("p_partkey", C.trim("p_name", "aeiou ").alias("s"))
 
 
-@over("SELECT doc_id, length(regexp_replace(regexp_replace(left(text, 200) || chr(10) || chr(9), '^[\\s]+', ''), '[\\s]+$', '')) AS n FROM documents".replace("\\\\", "\\"))
+@over("SELECT doc_id, length(trim(text || chr(10) || chr(9), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS n FROM documents".replace("\\\\", "\\"))
 def fn_trimspace(t):
-    return t.documents.select("doc_id", C.text_length(C.trim_space(F.concat(F.left("text", F.lit(200)), F.lit("\n\t")))).alias("n"))
+    return t.documents.select("doc_id", C.text_length(C.trim_space(F.concat("text", F.lit("\n\t")))).alias("n"))
 
 
 @over("SELECT p_partkey, replace(p_type, ' ', '_') AS s FROM part")
@@ -347,10 +347,10 @@ def cycle_detect(t):
     return n.join(reach.filter("u = v").select("u", F.lit(True).alias("c")), "u", "left").select(F.col("u").alias("n_nationkey"), F.coalesce("c", F.lit(False)).alias("in_cycle"))
 
 
-@over("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN n > 5 THEN 'r' || l_partkey ELSE 'r' || l_partkey || '[' || i || ']' END AS address, n > 5 AS is_template FROM (SELECT *, l_linenumber AS n, unnest(CASE WHEN l_linenumber > 5 THEN [0] ELSE range(l_linenumber) END) AS i FROM lineitem)")
+@over("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN n > 1024 THEN 'r' || l_partkey ELSE 'r' || l_partkey || '[' || i || ']' END AS address, n > 1024 AS is_template FROM (SELECT *, l_linenumber AS n, unnest(CASE WHEN l_linenumber > 1024 THEN [0] ELSE range(l_linenumber) END) AS i FROM lineitem)")
 def count_expand(t):
     l = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.concat(F.lit("r"), F.col("l_partkey")).alias("address"))
-    return expand.expand_count(l, "l_linenumber", "address", 5)
+    return expand.expand_count(l, "l_linenumber", "address")
 
 
 @over("""SELECT p_partkey, 't' || p_partkey || '["' || k || '"]' AS address, k AS each_key FROM (SELECT p_partkey, unnest(list_sort(list_distinct(string_split(p_type, ' ')))) AS k FROM part)""")
@@ -360,21 +360,21 @@ def for_each_expand(t):
 
 
 @over("""WITH RECURSIVE calls AS (SELECT n_nationkey::BIGINT AS owner, 'c' || n_nationkey AS name, (n_nationkey * 3 + 1)::BIGINT % 25 AS target FROM nation),
-r AS (SELECT owner AS component, 'module.' || name || '.' AS prefix, target, [target] AS chain, 1 AS depth FROM calls UNION ALL SELECT component, prefix || 'module.' || name || '.', c.target, list_append(chain, c.target), depth + 1 FROM r JOIN calls c ON r.target = c.owner WHERE depth < 4 AND NOT list_contains(chain, c.target))
+r AS (SELECT owner AS component, 'module.' || name || '.' AS prefix, target, [target] AS chain, 1 AS depth FROM calls UNION ALL SELECT component, prefix || 'module.' || name || '.', c.target, list_append(chain, c.target), depth + 1 FROM r JOIN calls c ON r.target = c.owner WHERE depth < 8 AND NOT list_contains(chain, c.target))
 SELECT component, prefix || 's' || s_suppkey AS address, depth FROM r JOIN supplier ON s_nationkey = target""")
 def module_flatten(t):
     n = F.col("n_nationkey")
     calls = t.nation.select(long(n).alias("owner"), F.concat(F.lit("c"), n).alias("name"), (long(n) * 3 + 1).alias("x")).select("owner", "name", (F.col("x") % 25).alias("target"))
     bodies = t.supplier.select(long("s_nationkey").alias("module"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("address"))
-    return expand.flatten_modules(calls, bodies, 4)
+    return expand.flatten_modules(calls, bodies)
 
 
-@over("SELECT coalesce(c.k, p.k)::BIGINT AS scope, coalesce(c.name, p.name) AS name, coalesce(c.target, p.target) AS target FROM (SELECT c_nationkey AS k, c_mktsegment AS name, max(c_name) AS target FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1, 2) c FULL JOIN (SELECT c_nationkey AS k, c_mktsegment AS name, min(c_name) AS target FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1, 2) p ON c.k = p.k AND c.name = p.name")
+@over("SELECT coalesce(c.k, p.k)::BIGINT AS scope, coalesce(c.name, p.name) AS name, coalesce(c.target, p.target) AS target FROM (SELECT c_nationkey AS k, c_mktsegment AS name, max(c_name) AS target FROM customer WHERE c_custkey % 2 <> 0 GROUP BY 1, 2) c FULL JOIN (SELECT c_nationkey AS k, c_mktsegment AS name, min(c_name) AS target FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1, 2) p ON c.k = p.k AND c.name = p.name")
 def provider_map_inherit(t):
-    def side(m, f):
-        return t.customer.filter(f"c_custkey % {m} = 0").groupBy(long("c_nationkey").alias("scope"), F.col("c_mktsegment").alias("name")).agg(f("c_name").alias("target"))
+    def side(odd, f):
+        return t.customer.filter((F.col("c_custkey") % 2 != 0) == odd).groupBy(long("c_nationkey").alias("scope"), F.col("c_mktsegment").alias("name")).agg(f("c_name").alias("target"))
 
-    return cascade.inherit(side(2, F.min), side(3, F.max))
+    return cascade.inherit(side(False, F.min), side(True, F.max))
 
 
 _CHAIN = "SELECT o_custkey AS scope, {path} AS path, o_orderkey AS level, o_orderstatus || o_orderkey AS value FROM orders"
@@ -471,15 +471,15 @@ def unresolved_count(t):
     return summary.unresolved_count(t.events.select("user_id", j.alias("j")), "user_id", "j")
 
 
-@over("""WITH c AS (SELECT o_orderstatus AS source_kind, o_orderpriority AS source_raw, count(*) AS call_count FROM orders WHERE o_orderkey % 4 = 1 GROUP BY 1, 2),
-w AS (SELECT DISTINCT o_orderstatus AS source_kind, left(o_orderpriority, 1) || CASE WHEN o_custkey % 9 = 0 THEN '' ELSE substr(o_orderpriority, 2) END AS source_raw FROM orders WHERE o_orderkey % 4 = 2)
+@over("""WITH c AS (SELECT o_orderstatus AS source_kind, o_orderpriority AS source_raw, count(*) AS call_count FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1, 2),
+w AS (SELECT DISTINCT o_orderstatus AS source_kind, left(o_orderpriority, 1) || CASE WHEN o_custkey % 9 = 0 THEN '' ELSE substr(o_orderpriority, 2) END AS source_raw FROM orders WHERE o_orderkey % 2 = 0)
 SELECT source_kind, source_raw, call_count, EXISTS (SELECT 1 FROM w WHERE w.source_kind = c.source_kind AND w.source_raw = c.source_raw) AS resolved FROM c
 UNION ALL SELECT source_kind, source_raw, 0, true FROM w WHERE NOT EXISTS (SELECT 1 FROM c WHERE w.source_kind = c.source_kind AND w.source_raw = c.source_raw)""")
 def modules_table(t):
     o = t.orders.withColumnRenamed("o_orderstatus", "source_kind")
-    calls = o.filter("o_orderkey % 4 = 1").select("source_kind", F.col("o_orderpriority").alias("source_raw"))
+    calls = o.filter("o_orderkey % 2 = 1").select("source_kind", F.col("o_orderpriority").alias("source_raw"))
     raw = F.concat(F.left("o_orderpriority", F.lit(1)), F.when(F.col("o_custkey") % 9 == 0, "").otherwise(F.expr("substr(o_orderpriority, 2)")))
-    return summary.modules_table(calls, o.filter("o_orderkey % 4 = 2").select("source_kind", raw.alias("source_raw")))
+    return summary.modules_table(calls, o.filter("o_orderkey % 2 = 0").select("source_kind", raw.alias("source_raw")))
 
 
 _UNION = {"resource": ("lineitem", "l_orderkey", "l_returnflag"), "data": ("orders", "o_orderkey", "o_orderpriority"), "provider": ("supplier", "s_suppkey", "s_name"), "module": ("customer", "c_custkey", "c_name"), "variable": ("part", "p_partkey", "p_name"), "local": ("nation", "n_nationkey", "n_name"), "output": ("region", "r_regionkey", "r_name")}

@@ -65,6 +65,11 @@ def stage(df: DataFrame, partition_by: list[str] | None = None, rows: int | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have release_staged() delete a folder, too."""
+    _written.append((spark, path))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

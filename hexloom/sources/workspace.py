@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 MAX_FILE_BYTES = 4 << 20
 MAX_DEPTH = 16
-EXCLUDED = (".git", ".terraform", ".terragrunt-cache")
 MODULE_DIRS = r"(^|/)modules/"
 #: What makes a directory what it is.
 PROBES = {
@@ -19,7 +18,7 @@ PROBES = {
     "has_resource": r'(?m)^\s*resource\s+"[^"]+"\s+"[^"]+"\s*\{',
     "has_data": r'(?m)^\s*data\s+"[^"]+"\s+"[^"]+"\s*\{',
     "has_variable": r'(?m)^\s*variable\s+"[^"]+"\s*\{',
-    "has_include": r'(?m)^\s*include\b[^{\n]*\{',
+    "has_include": r'(?m)^\s*include(\s+"[^"]*")?\s*\{',
 }
 
 
@@ -27,20 +26,31 @@ def _root(root: str) -> str:
     return root.rstrip("/") if "://" in root else "file://" + os.path.abspath(root)
 
 
-def files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """path (relative), dir, name, size, text of all configuration files; the engine lists and reads them in parallel."""
+def _listed(spark: SparkSession, root: str, glob: str = "*.{tf,hcl,tfvars}") -> DataFrame:
+    """path (relative), size and content of all files under a root but hidden ones; content is read only where used."""
     base = _root(root)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tf,hcl,tfvars}").load(base)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(base)
     plain = re.escape(re.sub(r"^file:/+", "/", base))
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{plain}/", "")
     df = df.select(rel.alias("path"), F.col("length").alias("size"), "content")
-    hidden = r"(^|/)\.[^/]"
-    df = df.filter(~F.col("path").rlike(hidden) & (F.col("size") <= max_bytes) & (F.size(F.split("path", "/")) <= max_depth))
+    return df.filter(~F.col("path").rlike(r"(^|/)\.[^/]"))
+
+
+def files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """path (relative), dir, name, size, text of all configuration files; the engine lists and reads them in parallel."""
+    df = _listed(spark, root).filter((F.col("size") <= max_bytes) & (F.size(F.split("path", "/")) <= max_depth))
     name = F.element_at(F.split("path", "/"), -1)
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return df.select("path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), name.alias("name"), "size", text.alias("text")).filter("text is not null")
 
 
+def unread(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(code, message, file) of configuration files that files() leaves out: too large (TF1201), or not UTF-8 (TF1202)."""
+    large = _listed(spark, root).filter(F.col("size") > max_bytes).select(F.lit("TF1201").alias("code"), F.concat(F.col("size"), F.lit(f" bytes, more than {max_bytes}")).alias("message"), F.col("path").alias("file"))
+    other = _listed(spark, root).filter((F.col("size") <= max_bytes) & F.try_validate_utf8(F.col("content").cast("string")).isNull())
+    return large.unionByName(other.select(F.lit("TF1202").alias("code"), F.lit("not UTF-8").alias("message"), F.col("path").alias("file")))
+
+
 def directories(found: DataFrame) -> DataFrame:
     """dir, kind (component, module, environments, files), from the union of its files' signals."""
     flags = [F.bool_or(F.col("text").rlike(p)).alias(k) for k, p in PROBES.items()]
@@ -59,3 +69,26 @@ def kind() -> Column:
         .when(F.expr("has_variable and not has_resource and not has_data"), "module")
         .otherwise("files")
     )
+
+
+#: Bytes of texts, and of paths, that the file functions may bring to every task; beyond, their calls stay symbolic.
+ASSET_BYTES = 32 << 20
+_FILE_CALL = r'\b(?:file|templatefile|fileexists|fileset)\s*\('
+_NAMED = r'\b(?:file|templatefile|fileexists)\s*\([^)]*?([A-Za-z0-9_.-]+)"'
+
+
+def assets(spark: SparkSession, root: str, found: DataFrame) -> tuple[dict[str, str | None], bool]:
+    """What the file functions may see: texts by path of the files that calls name, the paths of all others (None),
+    and whether all paths are there. Nothing is listed unless some file calls one of these functions."""
+    calls = found.filter(F.col("text").rlike(_FILE_CALL))
+    if calls.isEmpty():
+        return {}, False
+    every = _listed(spark, root, "*")
+    if every.agg(F.coalesce(F.sum(F.octet_length("path")), F.lit(0))).first()[0] > ASSET_BYTES:
+        return {}, False
+    out: dict[str, str | None] = {r.path: None for r in every.select("path").collect()}
+    names = calls.select(F.explode(F.regexp_extract_all("text", F.lit(_NAMED), 1)).alias("name")).distinct()
+    named = every.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(names, "name", "left_semi").filter(F.col("size") <= MAX_FILE_BYTES)
+    if named.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] <= ASSET_BYTES:
+        out |= {r.path: r.text for r in named.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).collect()}
+    return out, True

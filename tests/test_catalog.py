@@ -30,5 +30,10 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    plan = catalog.q8_dependents_of(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)  # so that filters are listed in full
+    try:
+        plan = catalog.q8_dependents_of(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
     assert "PushedFilters: [" in plan and "l_comment" not in plan and "EqualTo(l_returnflag,N)" in plan
