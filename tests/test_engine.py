@@ -1,4 +1,4 @@
-"""The engine's queries against SQL, and the cases that the trees of those queries do not hold."""
+"""Cases of the engine that the trees of its queries (tested with the catalogue) do not hold."""
 
 import pytest
 
@@ -10,7 +10,6 @@ from hexloom.operators.dedup import first_by, later_ones
 from hexloom.plans import catalog, engine  # noqa: F401 - registers its queries
 from hexloom.plans.export import Folder
 from hexloom.plans.workspace import ProfilesMissing, read_workspace
-from tests.oracle import assert_same, connect
 
 
 def test_whole_numbers_are_compared_as_such():
@@ -67,8 +66,3 @@ def test_strict_gate_files_and_limits(spark, tmp_path):
 
 def test_engine_queries_are_registered():
     assert {n for n in catalog.SQL if n.startswith("engine_")} >= {"engine_resources", "engine_cascade_deep", "engine_manifest", "engine_broken_trees"}
-
-
-@pytest.mark.parametrize("name", ["engine_broken_trees", "engine_cascade_deep", "engine_dependencies"])
-def test_some_engine_queries(name, spark, sf_dir):
-    assert_same(catalog.QUERIES[name](spark, sf_dir), connect(sf_dir), catalog.SQL[name])
