@@ -6,7 +6,8 @@ each record identifier to its bundle, frame and the offset inside the decompress
 read by fetching and decompressing one frame.
 
 Bundles are rows (bundle_id, data, index) of a table in shared storage: any file system that the engine can write
-to will do, and a lost executor loses nothing. export_bundles() writes them as files.
+to will do, and a lost executor loses nothing. export_bundles() writes them as files with their index beside them, from
+which read_exported() fetches one record.
 
 Of records with equal payloads of `min_revisit` bytes or more, that of the smallest page_id is the response; the
 others are revisits, which refer to it and carry no payload.
@@ -19,14 +20,15 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 from functools import partial
+from pathlib import Path
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,19 +184,45 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     return map_arrow(bundles.select("data", "index"), _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def _files(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's URI (or path), and the folder's path in it."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else Path(uri).absolute().as_uri())
+
+
 def export_bundles(bundles: DataFrame, folder: str) -> int:
-    """Write bundles as files <bundle_id>.warc.zst into a folder that all executors mount; the number of files."""
+    """Write bundles as files <bundle_id>.warc.zst, and their index as a table `index`, into a folder; the number of
+    files. The folder is a URI that pyarrow and the engine both reach (object stores, HDFS), or one that all mount."""
 
     def write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        files, base = _files(folder)
+        files.create_dir(base, recursive=True)
         for b in batches:
             names = []
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
-                with open(part, "wb") as f:
-                    f.write(data)
-                os.replace(part, os.path.join(folder, f"{name}.warc.zst"))
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as f:
+                    f.write(data.as_buffer())
+                files.move(part, f"{base}/{name}.warc.zst")  # a task that runs again writes the same
                 names.append(name)
             yield batch(["name"], [names], [pa.string()])
 
-    return map_arrow(bundles.select("bundle_id", "data"), partial(write, folder=folder), "name string").distinct().count()
+    n = map_arrow(bundles.select("bundle_id", "data"), partial(write, folder=folder), "name string").distinct().count()
+    uri = folder if "://" in folder or folder.startswith("file:") else Path(folder).absolute().as_uri()
+    bundles.select("bundle_id", F.explode("index").alias("e")).select("bundle_id", "e.*").write.mode("overwrite").parquet(f"{uri}/index")
+    return n
+
+
+def read_exported(folder: str, entry: dict) -> tuple[dict[str, str], bytes]:
+    """One record of an exported bundle, by its row of the index: the footer and one frame are read, and no more."""
+    files, base = _files(folder)
+    with files.open_input_file(f"{base}/{entry['bundle_id']}.warc.zst") as f:
+        size = f.size()
+        f.seek(size - 9)
+        (n, _, magic) = struct.unpack("<IBI", f.read(9))
+        if magic != SEEKABLE_MAGIC or size < 17 + 8 * n:
+            raise ValueError("not a seekable bundle")
+        f.seek(size - 17 - 8 * n)
+        at, c, d = seek_table(f.read(17 + 8 * n))[entry["frame"]]
+        f.seek(at)
+        headers, block, _ = parse_record(read_frame(f.read(c), (0, c, d)), entry["offset"])
+    return headers, block

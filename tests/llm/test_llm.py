@@ -345,6 +345,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert n == len(files)
     import zstandard
 
+    for e in spark.read.parquet(f"{tmp_path}/index").collect():
+        headers, block = warcbundle.read_exported(str(tmp_path), e.asDict())
+        assert headers["WARC-Record-ID"] == e.record_id and (headers["WARC-Type"] == "revisit" or block.decode() == next(h or "" for i, _, h in rows if i == e.page_id))
     for b in bundles.collect():
         data = files[b.bundle_id]
         for e in b["index"]:
