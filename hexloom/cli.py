@@ -15,7 +15,7 @@ COLUMNS = "workspace_root component_path module_path address kind resource_type
 #: Diagnostics that are shown; all of them are in the workspace's table.
 MOST_SHOWN = 200
 #: What a run ends with.
-EXIT_OTHER, EXIT_USAGE, EXIT_IO, EXIT_PROVIDER, EXIT_EXPORT = 1, 2, 3, 6, 7
+EXIT_OTHER, EXIT_USAGE, EXIT_IO, EXIT_LIMIT, EXIT_PROVIDER, EXIT_EXPORT = 1, 2, 3, 4, 6, 7
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +38,10 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--strict-providers", action="store_true")
     a.add_argument("--env-mode", default="strict", choices=["strict", "passthrough", "mock"], help="what get_env() sees: allowed names, all, or nothing")
     a.add_argument("--allow-env", action="append", default=[], metavar="NAME")
+    a.add_argument("--exclude", action="append", default=[], metavar="GLOB", help="paths that are left out")
+    a.add_argument("--module-glob", action="append", default=[], metavar="GLOB", help="folders that are modules, in place of the usual ones")
+    a.add_argument("--max-files", type=int, metavar="N")
+    a.add_argument("--no-ignore-files", action="store_true", help="read what .gitignore and .ignore leave out, too")
     sub.add_parser("verify", help="check the files of an export").add_argument("out")
     sub.add_parser("schema", help="the columns of the main table")
     sub.add_parser("version")
@@ -64,7 +68,9 @@ def main(argv: list[str] | None = None) -> int:
 
     from hexloom.plans import export
     from hexloom.plans.workspace import ProfilesMissing, read_workspace
+    from hexloom.sources.globs import GlobError
     from hexloom.sources.profiles import ProfileError, read_profiles
+    from hexloom.sources.workspace import MAX_FILES, MODULES, LimitExceeded, WalkOptions
 
     spark = SparkSession.builder.appName("hexloom").getOrCreate()
     if args.command == "verify":
@@ -81,13 +87,20 @@ def main(argv: list[str] | None = None) -> int:
     try:
         path = args.profile_map or args.aws_config
         profiles = read_profiles(spark, path) if path else None
-        ws = read_workspace(spark, args.root, dict(v.partition("=")[::2] for v in args.var), args.environment, profiles, environment_of(args.env_mode, args.allow_env), args.strict_providers)
+        walk = WalkOptions(max_files=MAX_FILES if args.max_files is None else args.max_files, exclude=tuple(args.exclude), modules=tuple(args.module_glob) or MODULES, ignore_files=not args.no_ignore_files)
+        ws = read_workspace(spark, args.root, dict(v.partition("=")[::2] for v in args.var), args.environment, profiles, environment_of(args.env_mode, args.allow_env), args.strict_providers, walk)
         if args.region:
             ws.resources = ws.resources.withColumn("region", F.when((F.col("region") == "") & F.col("kind").isin("resource", "data"), args.region).otherwise(F.col("region")))
         if args.parsed_at:
             ws.resources = ws.resources.withColumn("parsed_at", F.lit(args.parsed_at).cast("timestamp"))
         tables = ["resources"] if args.tables == "resources" else None
         manifest = export.export(ws, args.out, args.overwrite, args.compression, " ".join(sys.argv), tables, args.zstd_level)
+    except GlobError as e:
+        print(f"glob {e}", file=sys.stderr)
+        return EXIT_USAGE
+    except LimitExceeded as e:
+        print(e, file=sys.stderr)
+        return EXIT_LIMIT
     except FileExistsError as e:
         print(f"already there: {e}", file=sys.stderr)
         return EXIT_IO

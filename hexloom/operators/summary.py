@@ -24,6 +24,13 @@ def modules_table(calls: DataFrame, walked: DataFrame) -> DataFrame:
     return both.join(walked.select("source_kind", "source_raw").distinct().withColumn("_w", F.lit(True)), ["source_kind", "source_raw"], "left").select("source_kind", "source_raw", "call_count", F.coalesce("_w", F.lit(False)).alias("resolved"))
 
 
+def external_modules(calls: DataFrame) -> DataFrame:
+    """(source_raw, source_kind, file, line, column) of sources that are not local, each where it is first called."""
+    place = F.min(F.struct("file", "line", "column")).alias("first")
+    first = calls.filter("source_kind <> 'local'").groupBy("source_raw", "source_kind").agg(place)
+    return first.select("source_raw", "source_kind", "first.*")
+
+
 def unresolved_count(rows: DataFrame, key: str, json: str) -> DataFrame:
     """How many symbolic leaves the JSON of each key's rows has."""
     return rows.groupBy(key).agg(F.sum(F.regexp_count(F.col(json), F.lit('"__unresolved__":'))).cast("bigint").alias("unresolved_count"))

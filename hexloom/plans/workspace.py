@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import os
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -30,7 +30,7 @@ from hexloom.operators.dedup import first_by, later_ones
 from hexloom.operators.expand import MAX_DEPTH, MAX_INSTANCES
 from hexloom.operators.rows import map_groups, map_rows
 from hexloom.session import stage
-from hexloom.sources.workspace import assets, directories, files, unread
+from hexloom.sources.workspace import LimitExceeded, Tree, WalkOptions, assets, directories, files, unread
 
 PARSER_VERSION = "0.1.0"
 ENTITY = (
@@ -55,6 +55,7 @@ class Workspace:
     components: DataFrame
     modules: DataFrame
     diagnostics: DataFrame
+    external: DataFrame
 
 
 def _entity(**x) -> dict:
@@ -85,9 +86,9 @@ def _provider_map(e: list | None) -> dict[str, list]:
     return {k: list(p) for k, p in pairs if p[0]}
 
 
-def _wrapper(here: str, texts: dict[str, str], root: str, env: dict[str, str]):
+def _wrapper(here: str, texts: dict[str, str], root: str, env: dict[str, str], registry: fn.Registry | None = None):
     """What a component's wrapper file and its include chain say, and the entities for it."""
-    r = Resolver(texts, here, root, env).resolve()
+    r = Resolver(texts, here, root, env, registry).resolve()
     found = [_entity(dir=here, kind="diagnostic", name=code, body=message, file="", ord=-1) for code, message in r.diagnostics]
     known = {k: r.locals.get(k) if isinstance(r.locals.get(k), str) else None for k in ("aws_region", "aws_account_id")}
     b = r.backend or {}
@@ -95,21 +96,31 @@ def _wrapper(here: str, texts: dict[str, str], root: str, env: dict[str, str]):
     return r, found
 
 
-def evaluate_directory(rows: list[dict], variables: dict[str, object], environment: str | None, wrappers: dict[str, str] | None = None, root: str = "/", env: dict[str, str] | None = None, assets: tuple[dict[str, str | None], bool] = ({}, False)) -> Iterator[dict]:
+#: What belongs to wrapper files only.
+_WRAPPER_ONLY = ("include", "generate", "dependency", "inputs")
+
+
+def evaluate_directory(rows: list[dict], variables: dict[str, object], environment: str | None, wrappers: dict[str, str] | None = None, root: str = "/", env: dict[str, str] | None = None, assets: tuple[dict[str, str | None], bool] = ({}, False), registry: fn.Registry | None = None) -> Iterator[dict]:
     """The entities of one directory, reduced as far as it goes by itself."""
     here, blocks, ord_ = rows[0]["dir"], [], 0
     for r in sorted(rows, key=lambda r: r["path"]):
         if not r["name"].endswith(".tf"):
             continue
         try:
-            blocks += [(x, r["path"]) for x in parse(r["text"]) if "body" in x]
+            parsed = parse(r["text"])
+            blocks += [(x, r["path"]) for x in parsed if "body" in x]
+            for x in parsed:
+                if x["name"] in _WRAPPER_ONLY:
+                    yield _entity(dir=here, kind="diagnostic", name="TF1205", body=f"{x['name']} is not expected in this kind of file", file=r["path"], line=x.get("line"), column=x.get("column"), ord=-1)
         except (HclError, RecursionError) as e:
             yield _entity(dir=here, kind="diagnostic", name="TF1203", body=str(e), file=r["path"], ord=-1)
     scope = ev.Scope(workspace=environment, functions=fn.FUNCTIONS | functions_over(*assets, root) | {"get_env": (1, lambda name, default="": (env or {}).get(name, default))})
+    if registry is not None:
+        scope.functions = registry.over(scope.functions)
     wrapped = None
     if any(r["name"] == "terragrunt.hcl" for r in rows if posixpath.dirname(r["path"]) == here):
         texts = wrappers if wrappers is not None else {r["path"]: r["text"] for r in rows if r["name"].endswith(".hcl")}
-        wrapped, found = _wrapper(here, texts, root, env or {})
+        wrapped, found = _wrapper(here, texts, root, env or {}, registry)
         yield from found
     nodes: dict[str, list] = {}
     for x, _ in blocks:
@@ -242,14 +253,27 @@ def _with_wrappers(known: DataFrame, found: DataFrame) -> tuple[DataFrame, dict[
     return known.unionByName(above.select("path", F.col("_d").alias("dir"), "name", "size", "text")), None
 
 
-def read_workspace(spark: SparkSession, root: str, variables: dict[str, object] | None = None, environment: str | None = None, profiles: DataFrame | None = None, env: dict[str, str] | None = None, strict_providers: bool = False) -> Workspace:
+@dataclass(frozen=True)
+class Stages:
+    """The steps that a caller may replace, each by one of the same arguments and columns."""
+
+    files: Callable = files
+    directories: Callable = directories
+    evaluate: Callable = evaluate_directory
+
+
+def read_workspace(spark: SparkSession, root: str, variables: dict[str, object] | None = None, environment: str | None = None, profiles: DataFrame | None = None, env: dict[str, str] | None = None, strict_providers: bool = False, walk: WalkOptions = WalkOptions(), registry: fn.Registry | None = None, stages: Stages = Stages()) -> Workspace:
     """The four tables of a source tree, and what went wrong. profiles: profile, account_id, account_name; env: what
-    get_env() may see. strict_providers: raise ProfilesMissing if a provider names a profile that the map lacks."""
-    found = stage(files(spark, root))
-    kinds = stage(directories(found).select("dir", F.col("kind").alias("dir_kind"), "has_terragrunt"))
+    get_env() may see. strict_providers: raise ProfilesMissing if a provider names a profile that the map lacks.
+    walk: which files are read; a tree of more files than it allows raises LimitExceeded. registry: the functions."""
+    tree = Tree(spark, root, walk)
+    found = stage(stages.files(tree))
+    if found.count() > walk.max_files:
+        raise LimitExceeded(f"more than {walk.max_files} files")
+    kinds = stage(stages.directories(found, walk.modules).select("dir", F.col("kind").alias("dir_kind"), "has_terragrunt", "ambiguous"))
     known = found.join(kinds.filter("dir_kind in ('component', 'module')").select("dir"), "dir", "left_semi")
     known, wrappers = _with_wrappers(known, found)
-    evaluate = partial(evaluate_directory, variables=variables or {}, environment=environment, wrappers=wrappers, root=os.path.abspath(root) if "://" not in root else "/", env=env or {}, assets=assets(spark, root, found))
+    evaluate = partial(stages.evaluate, variables=variables or {}, environment=environment, wrappers=wrappers, root=os.path.abspath(root) if "://" not in root else "/", env=env or {}, assets=assets(tree, found), registry=registry)
     entities = stage(map_groups(known, "dir", evaluate, ENTITY))
     components = kinds.filter("dir_kind = 'component'").select(F.col("dir").alias("component_path"), "has_terragrunt")
 
@@ -314,13 +338,15 @@ def read_workspace(spark: SparkSession, root: str, variables: dict[str, object]
     component_rows = counted.join(components, "component_path").join(unresolved, "component_path", "left").withColumn("unresolved_count", F.coalesce("unresolved_count", F.lit(0)))
     component_rows = component_rows.join(state, "component_path", "left")
     component_rows = component_rows.select("component_path", F.lit("component").alias("kind"), *(c for c in component_rows.columns if c.endswith("_count") and c != "unresolved_count"), "environments_seen", "has_terragrunt", *(F.coalesce(c, F.lit("")).alias(c) for c in ("state_backend_kind", "state_account_id", "state_region")), "unresolved_count")
-    calls = entities.filter("kind = 'module' and source <> ''").select(C.module_source_kind("source").alias("source_kind"), F.col("source").alias("source_raw"))
+    calls = entities.filter("kind = 'module' and source <> ''").select(C.module_source_kind("source").alias("source_kind"), F.col("source").alias("source_raw"), *place)
     walked = kinds.filter("dir_kind = 'module'").select(F.lit("local").alias("source_kind"), F.col("dir").alias("source_raw"))
     diagnostics = entities.filter("kind = 'diagnostic'").select(F.col("name").alias("code"), F.col("body").alias("message"), *place)
     for x in troubles:
         diagnostics = diagnostics.unionByName(x)
-    diagnostics = diagnostics.unionByName(unread(spark, root), allowMissingColumns=True).distinct()
-    return Workspace(resources, _edges(rows, wrapped), component_rows, summary.modules_table(calls, walked), diagnostics)
+    diagnostics = diagnostics.unionByName(unread(tree), allowMissingColumns=True)
+    unsure = kinds.filter("ambiguous").select(F.lit("TF1120").alias("code"), F.lit("a component where modules are").alias("message"), F.col("dir").alias("file"))
+    diagnostics = diagnostics.unionByName(unsure, allowMissingColumns=True).distinct()
+    return Workspace(resources, _edges(rows, wrapped), component_rows, summary.modules_table(calls, walked), diagnostics, summary.external_modules(calls))
 
 
 def _providers(rows: DataFrame, profiles: DataFrame) -> DataFrame:

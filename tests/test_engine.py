@@ -57,7 +57,7 @@ def test_strict_gate_files_and_limits(spark, tmp_path):
     with pytest.raises(ProfilesMissing, match="gone"):
         read_workspace(spark, str(tmp_path), profiles=profiles, strict_providers=True)
     ws = read_workspace(spark, str(tmp_path), profiles=profiles, env={"HOME_DIR": "/h"})
-    assert sorted((r.code, r.file) for r in ws.diagnostics.collect()) == [("TF1201", "b/large.tf"), ("TF1202", "b/bad.tf"), ("TF1601", "")]
+    assert sorted((r.code, r.file) for r in ws.diagnostics.collect()) == [("TF1103", "b/large.tf"), ("TF1202", "b/bad.tf"), ("TF1601", "")]
     rows = {r.address: r for r in ws.resources.collect()}
     assert '"noted"' in rows["t_a.x"].attributes_json and '["note.txt"]' in rows["t_a.x"].attributes_json and '"/h"' in rows["t_a.x"].attributes_json
     assert rows["t_b.y"].state_region == "eu"
