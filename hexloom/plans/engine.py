@@ -16,6 +16,7 @@ from hexloom.plans.catalog import query
 from hexloom.plans.export import Folder, export, verify
 from hexloom.plans.workspace import Workspace, read_workspace
 from hexloom.session import remove_at_exit, shared_dir, table
+from hexloom.sources.workspace import Tree, WalkOptions, files
 
 _MAIN = """
     terraform {{
@@ -187,6 +188,30 @@ def engine_broken_trees(spark, sf_dir):
     return found.select("code", F.regexp_extract(place, "(c/[a-z0-9]+)", 1).alias("component"))
 
 
+@engine("""SELECT unnest(['live/n' || n_nationkey || '/_own.tf', '_env/n' || n_nationkey || '.hcl']) AS path FROM nation
+UNION ALL SELECT 'live/n' || n_nationkey || '/main.tf' FROM nation WHERE n_nationkey::VARCHAR NOT LIKE '1%'
+UNION ALL SELECT 'live/n' || n_nationkey || '/s.tfvars' FROM nation WHERE n_nationkey % 2 = 0""")
+def engine_walk(spark, sf_dir):
+    """Files that a walk reads: names that begin with an underscore, ignore files and their exceptions, an exclude glob."""
+    tree = {".gitignore": "skip/\n*.tfvars\n"}
+    for r in _nations(spark, sf_dir):
+        k = r.n_nationkey
+        tree |= {f"live/n{k}/{name}": "x = 1\n" for name in ("main.tf", "_own.tf", "skip/x.tf", "s.tfvars", "note.txt")}
+        tree[f"_env/n{k}.hcl"] = "x = 1\n"
+        if k % 2 == 0:
+            tree[f"live/n{k}/.gitignore"] = "!s.tfvars\n"
+    return files(Tree(spark, _tree(spark, tree), WalkOptions(exclude=("live/n1*/main.tf",)))).select("path")
+
+
+@engine("SELECT 'git::https://example.org/r' || n_regionkey || '.git' AS source_raw, min('c/n' || n_nationkey || '/main.tf') AS file FROM nation GROUP BY n_regionkey")
+def engine_external_modules(spark, sf_dir):
+    """Modules of other places, each where it is first called."""
+    call = 'resource "t_a" "x" {{}}\nmodule "{m}" {{\n  source = "git::https://example.org/r{r}.git"\n}}\nmodule "in" {{\n  source = "../../modules/m"\n}}\n'
+    tree = {f"c/n{r.n_nationkey}/main.tf": call.format(m=f"m{r.n_nationkey}", r=r.n_regionkey) for r in _nations(spark, sf_dir)}
+    tree["modules/m/main.tf"] = 'resource "t_b" "y" {}\n'
+    return read_workspace(spark, _tree(spark, tree)).external.select("source_raw", "file")
+
+
 _ROOT = """
     locals {
       tags = { a = "root", b = { x = "root", y = "root" } }
