@@ -15,9 +15,9 @@ that stands in their slot is a secret, whatever it looks like. Access keys are s
 
 The texts with base entities give the patterns first. A second scan looks for the fillers of their slots, and a third
 one for the tokens found; both look them up in broadcast blocks of bounded size, and edges are counted before they
-are shuffled. The slots of patterns with enough base entities are filled first: where none of them is sure, no token
-can be found, and the other slots are left out. Patterns
-are 64-bit hashes in the graph.
+are shuffled. The slots of patterns with enough base entities are filled first; in each round then those of patterns
+that have enough base entities and found tokens together. No other pattern can be sure, so that nothing is lost.
+Patterns are 64-bit hashes in the graph.
 
 Positions are code points: the pieces between matches and the matches themselves are summed up, once per text.
 Patterns use possessive quantifiers and start only where a run starts, so that a long run is scanned once.
@@ -181,20 +181,33 @@ def _fillers(found: DataFrame, patterns: DataFrame) -> DataFrame:
     return fillers.select("pattern", _bare(F.col("t")).alias("instance"), F.lit(None).cast("int").alias("kind")).distinct()
 
 
-def graph(found: DataFrame) -> DataFrame:
-    """The distinct edges of instances: instance, kind (null if unknown) and patterns (one in each row), staged."""
+def graph(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The distinct edges of instances: instance, kind (null if unknown) and patterns (one in each row), staged; all of
+    those that can matter within so many rounds."""
     some = found.filter(" + ".join(f"size({k})" for k in KINDS) + " > 0")
     seed = _slots(some).filter(f"t rlike '[{_MARKS}]'").select("pattern", F.explode(F.expr(f"regexp_extract_all(t, '[{_MARKS}][^{_END}]*+', 0)")).alias("x"))
     seeds = stage(seed.select("pattern", F.expr("substr(x, 2)").alias("instance"), (F.ascii("x") - 1).alias("kind")).distinct())
-    strong = stage(seeds.groupBy("pattern", "kind").count().filter(F.col("count") >= SUPPORT).groupBy("pattern").agg(F.max("count").alias("seeds")))
+    strong = stage(seeds.groupBy("pattern", "kind").count().filter(F.col("count") >= SUPPORT).select("pattern").distinct())
     edges = seeds
     if not strong.isEmpty():
-        # the first round rests on patterns of enough base entities: where none of them is sure, no round finds a token
-        filled = stage(_fillers(found, strong.select("pattern")).unionByName(seeds.join(strong, "pattern", "left_semi")))
-        n = filled.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-        if not strong.join(n, "pattern").filter(F.col("seeds") / (F.col("n") + SMOOTH) >= CONFIDENT).isEmpty():
-            edges = edges.unionByName(_fillers(found, stage(seeds.select("pattern").distinct())))
-    return stage(edges.select("instance", "kind", F.array("pattern").alias("patterns")))
+        # a pattern is sure only with SUPPORT base entities and found tokens in its slot; the others' slots stay unfilled
+        held = stage(seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("held")))
+        opened, edges = strong, stage(seeds.unionByName(_fillers(found, strong)))
+        for r in range(1, rounds):
+            new = _scores(_graph(edges), r)
+            if new is None:
+                break
+            words = _slots(found).filter(f"not t rlike '[{_MARKS}]'").select("pattern", _bare(F.col("t")).alias("instance"))
+            hits = _in_blocks(words, stage(new.select("instance").distinct()), "instance").distinct()
+            more = hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("more")).join(held, "pattern").filter(F.col("held") + F.col("more") >= SUPPORT)
+            more = stage(more.select("pattern").join(opened, "pattern", "left_anti"))
+            if not more.isEmpty():
+                opened, edges = stage(opened.unionByName(more)), stage(edges.unionByName(_fillers(found, more)))
+    return stage(_graph(edges))
+
+
+def _graph(edges: DataFrame) -> DataFrame:
+    return edges.select("instance", "kind", F.array("pattern").alias("patterns"))
 
 
 def occurrences(found: DataFrame, more: DataFrame) -> DataFrame:
@@ -214,6 +227,15 @@ def occurrences(found: DataFrame, more: DataFrame) -> DataFrame:
 
 def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance, kind) of unknown instances that high-confidence patterns find."""
+    new = _scores(occurrences, rounds)
+    if new is None:
+        return occurrences.select("instance", F.col("kind").alias("k")).limit(0)
+    best = new.filter(F.col("score") >= THRESHOLD).groupBy("instance").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
+    return stage(best.select("instance", (-F.col("b.k")).alias("k")))
+
+
+def _scores(occurrences: DataFrame, rounds: int) -> DataFrame | None:
+    """instance, k and score of the unknown instances that are reached after so many rounds, staged; None without any."""
     edges = occurrences.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     seeded = stage(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeds")).filter(F.col("seeds") >= 1).filter(F.col("n") >= SUPPORT).select("pattern", "n"))
     edges = stage(edges.join(seeded, "pattern"))  # pattern, instance, kind, n
@@ -228,10 +250,7 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             break
         reached = edges.filter("kind is null").join(sure, "pattern").groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
         new = stage(reached)
-    if new is None:
-        return edges.select("instance", F.col("kind").alias("k")).limit(0)
-    best = new.filter(F.col("score") >= THRESHOLD).groupBy("instance").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
-    return stage(best.select("instance", (-F.col("b.k")).alias("k")))
+    return new
 
 
 def secret_slots(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -264,7 +283,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base, contextual ones and secrets),
     n_secret and n_spans (all of them)."""
     found = extract(docs)
-    more = bootstrap(graph(found), rounds)
+    more = bootstrap(graph(found, rounds), rounds)
     spans = F.concat(*(F.expr(f"transform({k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))") for i, k in enumerate(KINDS)))
     keys = F.expr(f"transform(access_keys, x -> named_struct('s', x.s, 'k', {len(KINDS)}, 'e', x.e))")
     out = found.select("doc_id", "row", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), spans.alias("base"), keys.alias("keys"))
