@@ -17,7 +17,9 @@ The texts with base entities give the patterns first. A second scan looks for th
 one for the tokens found; both look them up in broadcast blocks of bounded size, and edges are counted before they
 are shuffled. The slots of patterns with enough base entities are filled first; in each round then those of patterns
 that have enough base entities and found tokens together. No other pattern can be sure, so that nothing is lost.
-Patterns are 64-bit hashes in the graph.
+Nor can one be sure whose slot holds more distinct tokens than its support allows (a quarter more at most): these are
+told by growing parts of the texts and make no edges, so that the graph follows the base entities and found tokens,
+not how often usual words meet. Patterns are 64-bit hashes in the graph.
 
 Positions are code points: the pieces between matches and the matches themselves are summed up, once per text.
 Patterns use possessive quantifiers and start only where a run starts, so that a long run is scanned once.
@@ -62,6 +64,8 @@ THRESHOLD = 0.8
 #: Patterns or instances that are broadcast at once; words of a text whose lengths are added up at once.
 BLOCK = 1_000_000
 CHUNK = 256
+#: One in so many texts is read for the fillers of slots, then one in fewer, then all.
+PARTS = (64, 8, 1)
 
 
 def _sql(s: str) -> str:
@@ -175,10 +179,24 @@ def _in_blocks(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def _fillers(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The distinct edges between patterns and the tokens in their slots that hold no base entity."""
-    fillers = _in_blocks(_slots(found), patterns, "pattern").filter(f"not t rlike '[{_MARKS}]'")
-    return fillers.select("pattern", _bare(F.col("t")).alias("instance"), F.lit(None).cast("int").alias("kind")).distinct()
+def _fillers(found: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of patterns (pattern, and the support that it has at most; staged) those that so much support can make sure, and
+    the distinct edges between them and the tokens in their slots that hold no base entity, staged.
+
+    A part of the texts has no more distinct fillers than all of them, so a pattern that has too many there is left
+    before the other texts are looked at. Only the last part, all texts, makes edges."""
+    for part in PARTS:
+        n = patterns.count()
+        rows = found if part == 1 else found.filter(F.pmod(F.xxhash64("row"), F.lit(part)) == 0)
+        tokens = _in_blocks(_slots(rows), patterns.select("pattern"), "pattern").filter(f"not t rlike '[{_MARKS}]'")
+        fillers = tokens.select("pattern", _bare(F.col("t")).alias("instance"), F.lit(None).cast("int").alias("kind")).distinct()
+        if part == 1:
+            fillers = stage(fillers)
+        over = fillers.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).join(patterns, "pattern").filter(F.col("support") / (F.col("n") + SMOOTH) < CONFIDENT)
+        patterns = stage(patterns.join(over.select("pattern"), "pattern", "left_anti"), rows=n)
+        if patterns.isEmpty():
+            return patterns.select("pattern"), fillers.limit(0)
+    return patterns.select("pattern"), stage(fillers.join(patterns, "pattern", "left_semi"))
 
 
 def graph(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -187,22 +205,21 @@ def graph(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     some = found.filter(" + ".join(f"size({k})" for k in KINDS) + " > 0")
     seed = _slots(some).filter(f"t rlike '[{_MARKS}]'").select("pattern", F.explode(F.expr(f"regexp_extract_all(t, '[{_MARKS}][^{_END}]*+', 0)")).alias("x"))
     seeds = stage(seed.select("pattern", F.expr("substr(x, 2)").alias("instance"), (F.ascii("x") - 1).alias("kind")).distinct())
-    strong = stage(seeds.groupBy("pattern", "kind").count().filter(F.col("count") >= SUPPORT).select("pattern").distinct())
-    edges = seeds
-    if not strong.isEmpty():
-        # a pattern is sure only with SUPPORT base entities and found tokens in its slot; the others' slots stay unfilled
-        held = stage(seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("held")))
-        opened, edges = strong, stage(seeds.unionByName(_fillers(found, strong)))
-        for r in range(1, rounds):
-            new = _scores(_graph(edges), r)
-            if new is None:
-                break
-            words = _slots(found).filter(f"not t rlike '[{_MARKS}]'").select("pattern", _bare(F.col("t")).alias("instance"))
-            hits = _in_blocks(words, stage(new.select("instance").distinct()), "instance").distinct()
-            more = hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("more")).join(held, "pattern").filter(F.col("held") + F.col("more") >= SUPPORT)
-            more = stage(more.select("pattern").join(opened, "pattern", "left_anti"))
-            if not more.isEmpty():
-                opened, edges = stage(opened.unionByName(more)), stage(edges.unionByName(_fillers(found, more)))
+    # a pattern's support is at most its base entities of one kind and the found tokens in its slot; it is sure only with
+    # SUPPORT of them, and if they are enough for all that stand in the slot
+    held = stage(seeds.groupBy("pattern", "kind").count().groupBy("pattern").agg(F.max("count").alias("held")))
+    opened, fillers = _fillers(found, stage(held.select("pattern", F.col("held").alias("support")).filter(F.col("support") >= SUPPORT)))
+    edges = stage(seeds.join(opened, "pattern", "left_semi").unionByName(fillers))
+    for r in range(1, rounds):
+        new = _scores(_graph(edges), r)
+        if new is None:
+            break
+        words = _slots(found).filter(f"not t rlike '[{_MARKS}]'").select("pattern", _bare(F.col("t")).alias("instance"))
+        hits = _in_blocks(words, stage(new.select("instance").distinct()), "instance").distinct()
+        more = hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("more")).join(held, "pattern").select("pattern", (F.col("held") + F.col("more")).alias("support"))
+        more, fillers = _fillers(found, stage(more.filter(F.col("support") >= SUPPORT).join(opened, "pattern", "left_anti")))
+        if not more.isEmpty():
+            opened, edges = stage(opened.unionByName(more)), stage(edges.unionByName(seeds.join(more, "pattern", "left_semi")).unionByName(fillers))
     return stage(_graph(edges))
 
 

@@ -687,6 +687,28 @@ def test_contextual_recall(spark):
     assert all("," not in got[i] for i in got)
 
 
+def test_slots_of_usual_words_are_not_filled(spark):
+    """Slots that base entities share with many other tokens make no edges; what is found stays as by all edges."""
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    texts = [f"come along to user{i}@host{i}.com {word()}" for i in range(8)] + [f"come along to {word()}{i} {word()}" for i in range(2000)]
+    texts += [f"you may mail me@a{i}.org {word()}" for i in range(200)] + [f"you may mail nick-{i} {word()}" for i in range(6)]
+    # sure only when the tokens of the round before count, and of enough base entities with them
+    texts += [f"please do ask m{i}@b.org {word()}" for i in range(4)] + [f"please do ask nick-{i} {word()}" for i in range(6)] + [f"please do ask late {word()}"]
+    texts += [f"never do tell k{i}@c.org {word()}" for i in range(4)] + [f"never do tell {x} {word()}" for x in ("nick-1", "late", "one", "two", "three", "four")]
+    texts += [f"then go see n{i}@d.org {word()}" for i in range(10)] + [f"then go see {x} {word()}" for x in ("late", "last")]
+    found = pii.extract(frame(spark, list(enumerate(texts))))
+    slots = pii.stage(pii._slots(found))
+    seeds = slots.filter("t rlike '[\x01-\x04]'").select("pattern", F.expr("regexp_extract(t, '[\x01-\x04]([^\x05]*)', 1)").alias("instance"), F.lit(0).alias("kind"))
+    others = slots.filter("not t rlike '[\x01-\x04]'").join(seeds.select("pattern").distinct(), "pattern").select("pattern", pii._bare(F.col("t")).alias("instance"), F.lit(None).cast("int").alias("kind"))
+    every = pii.stage(seeds.unionByName(others).distinct())
+    edges = pii.graph(found)
+    assert every.count() > 2000 and edges.count() < 500
+    want = sorted(tuple(r) for r in pii.bootstrap(pii._graph(every)).collect())
+    assert want == [(x, 0) for x in ("last", "late", *(f"nick-{i}" for i in range(6)))]
+    assert sorted(tuple(r) for r in pii.bootstrap(edges).collect()) == want
+
+
 def test_prefixes_of_long_chunks(library):
     """Chunks of scripts without white space, with apostrophes and accents: exact, and in linear time."""
     import time
